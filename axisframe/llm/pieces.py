@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Segments whose encoding a worker remembers at once, and their longest length in characters.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
 REMEMBERED_LENGTH = 48
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
@@ -106,6 +106,10 @@ class Model:
         self.ident = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == _NORMAL}
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == _BYTE}
         self.unknown = self.kinds.index(_UNKNOWN)
+        joined = {c for p in self.ident if len(p) > 1 for c in p}
+        lone = "".join(c for c in "\n\r\t" if c not in joined)
+        #: Runs of space signs with what follows; controls that no longer piece holds stand by themselves.
+        self.pattern = re.compile(f"{SPACE}+[^{SPACE}{lone}]*|[^{SPACE}{lone}]+" + (f"|[{lone}]+" if lone else ""))
         #: No piece has a space sign after another sign, so none crosses from one segment to the next.
         self.by_segment = self.escape and not any(SPACE in p.lstrip(SPACE) for p in self.ident)
 
@@ -183,7 +187,7 @@ class Model:
         return [p for p in parts if p is not None]
 
     def segments(self, normal: str) -> list[str]:
-        return _SEGMENT.findall(normal) if self.by_segment else [normal] if normal else []
+        return self.pattern.findall(normal) if self.by_segment else [normal] if normal else []
 
     def ids(self, pieces: list[str]) -> tuple[list[int], list[int]]:
         """Ids of pieces, those outside the vocabulary as bytes (or unknown), and the characters that each id covers
@@ -274,7 +278,6 @@ class Model:
         return "".join(out)
 
 
-_SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _models: dict[bytes, tuple[Model, dict]] = {}
 
 
@@ -290,10 +293,15 @@ class _Coder:
 
     def __init__(self, data: bytes):
         self.model, self.known = _model(data)
+        #: Segments whose pieces do not read as the segment itself.
+        self.odd: dict[str, str] = {}
 
-    def _segment(self, s: str) -> tuple[bytes, int, str]:
+    def _segment(self, s: str) -> bytes:
         ids, _ = self.model.ids(self.model.cut(s))
-        return ",".join(map(str, ids)).encode(), len(ids), self._surface(ids)
+        surface = self._surface(ids)
+        if surface != s.replace(SPACE, " "):
+            self.odd[s] = surface
+        return ",".join(map(str, ids)).encode()
 
     def _surface(self, ids: list[int]) -> str:
         m = self.model
@@ -313,22 +321,24 @@ class _Coder:
     def digest(self, text: str) -> tuple[int, str, str]:
         """(ids, SHA-256 of the ids, SHA-256 of the decoded text)."""
         m, known = self.model, self.known
-        ids, surfaces, n = [], [], 0
-        for s in m.segments(m.normalise(text)[0]):
-            hit = known.get(s)
-            if hit is None:
-                hit = self._segment(s)
-                if len(s) <= REMEMBERED_LENGTH:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[s] = hit
-            ids.append(hit[0])
-            n += hit[1]
-            surfaces.append(hit[2])
-        decoded = "".join(surfaces)
+        normal = m.normalise(text)[0]
+        segments = m.segments(normal)
+        found = [*map(known.get, segments)]
+        if None in found:
+            fresh: dict[str, bytes] = {}
+            for k, s in enumerate(segments):
+                if found[k] is None:
+                    if s not in fresh:
+                        fresh[s] = self._segment(s)
+                    found[k] = fresh[s]
+            if len(known) + len(fresh) > REMEMBERED:
+                known.clear()
+            known.update((s, x) for s, x in fresh.items() if len(s) <= REMEMBERED_LENGTH)
+        ids = b",".join(found)
+        decoded = "".join([self.odd.get(s) or s.replace(SPACE, " ") for s in segments]) if self.odd else normal.replace(SPACE, " ")
         if m.dummy and decoded.startswith(" "):
             decoded = decoded[1:]
-        return n, hashlib.sha256(b",".join(ids)).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
+        return ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
 
 
 def model_bytes(path: str) -> bytes:
