@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, warc
+from . import mixing, neardup, pieces, warc
 from .common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op3_warc(spark, sf_dir):
 @_query("op6_sentencepiece")
 def op6_sentencepiece(spark, sf_dir):
     return pieces.token_digests(table(spark, sf_dir, "documents", "doc_id", "text"), pieces.default_model(spark))
+
+
+@_query("op10_minhash")
+def op10_minhash(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=4, percent=80)
