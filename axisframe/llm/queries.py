@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, pieces, warc
+from . import langid, mixing, neardup, pieces, quality, warc
 from .common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,14 @@ def op6_sentencepiece(spark, sf_dir):
 @_query("op10_minhash")
 def op10_minhash(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=4, percent=80)
+
+
+@_query("op4_language")
+def op4_language(spark, sf_dir):
+    return langid.languages(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+@_query("op5_quality")
+def op5_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.quality_scores(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
