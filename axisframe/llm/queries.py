@@ -6,8 +6,9 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, pieces, quality, warc
+from . import langid, linededup, mixing, neardup, pieces, quality, warc
 from .common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +94,27 @@ def op4_language(spark, sf_dir):
 def op5_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return quality.quality_scores(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+@_query(
+    "op8_line_dedup",
+    r"""
+WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(generate_series(1, len(ls))) AS pos, unnest(ls) AS line FROM s WHERE text IS NOT NULL),
+w AS (SELECT doc_id, pos, list_filter(regexp_split_to_array(line, '[ 	-]+'), lambda x: x <> '') AS ws FROM l),
+k AS (SELECT doc_id, pos, array_to_string(ws, ' ') AS line, len(ws) AS n, ws FROM w WHERE len(ws) >= 5),
+d AS (SELECT line, any_value(ws) AS ws, any_value(n) AS n, min({'doc_id': doc_id, 'pos': pos}) AS place FROM k GROUP BY line),
+v AS (SELECT line, n, place, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:n]), ' ') AS v FROM (SELECT *, unnest(generate_series(1, n)) AS i FROM d)),
+c AS (SELECT line FROM (SELECT line, place, min(place) OVER (PARTITION BY v, i, n) AS m FROM v) WHERE m < place
+  UNION SELECT v.line FROM v JOIN d ON v.v = d.line WHERE d.place < v.place
+  UNION SELECT d.line FROM v JOIN d ON v.v = d.line WHERE v.place < d.place),
+g AS (SELECT k.doc_id, k.pos FROM k JOIN d ON k.line = d.line
+  WHERE {'doc_id': k.doc_id, 'pos': k.pos} > d.place OR k.line IN (SELECT line FROM c)),
+p AS (SELECT doc_id, list(pos) AS gone FROM g GROUP BY doc_id)
+SELECT s.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
+  md5(CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(gone, i)), chr(10)), '') END) AS kept_md5
+FROM s LEFT JOIN p ON s.doc_id = p.doc_id""",
+)
+def op8_line_dedup(spark, sf_dir):
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
