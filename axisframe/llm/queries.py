@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, neardup, pieces, quality, warc
+from . import langid, linededup, mixing, neardup, pagetext, pieces, quality, warc
 from .common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,7 +101,8 @@ def op5_quality(spark, sf_dir):
     r"""
 WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(generate_series(1, len(ls))) AS pos, unnest(ls) AS line FROM s WHERE text IS NOT NULL),
-w AS (SELECT doc_id, pos, list_filter(regexp_split_to_array(line, '[ 	-]+'), lambda x: x <> '') AS ws FROM l),
+w AS (SELECT doc_id, pos, list_filter(regexp_split_to_array(line, '[ 	-
+]+'), lambda x: x <> '') AS ws FROM l),
 k AS (SELECT doc_id, pos, array_to_string(ws, ' ') AS line, len(ws) AS n, ws FROM w WHERE len(ws) >= 5),
 d AS (SELECT line, any_value(ws) AS ws, any_value(n) AS n, min({'doc_id': doc_id, 'pos': pos}) AS place FROM k GROUP BY line),
 v AS (SELECT line, n, place, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:n]), ' ') AS v FROM (SELECT *, unnest(generate_series(1, n)) AS i FROM d)),
@@ -118,3 +119,8 @@ FROM s LEFT JOIN p ON s.doc_id = p.doc_id""",
 def op8_line_dedup(spark, sf_dir):
     out = linededup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
+
+
+@_query("op9_page_text")
+def op9_page_text(spark, sf_dir):
+    return pagetext.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
