@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, neardup, pagetext, pieces, quality, warc
+from . import langid, linededup, mixing, neardup, pagetext, pieces, quality, vectors, warc
 from .common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,8 @@ def op8_line_dedup(spark, sf_dir):
 @_query("op9_page_text")
 def op9_page_text(spark, sf_dir):
     return pagetext.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@_query("op7_embedding_dedup")
+def op7_embedding_dedup(spark, sf_dir):
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), threshold=0.9)
