@@ -211,35 +211,58 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) ->
     return train_field([r[1] for r in got], langs, [r[2] for r in got], lexicon_counts(known, langs))
 
 
-def predict(docs: DataFrame, field: Field | None) -> DataFrame:
-    """doc_id, lang_pred and score of each whole text: the language with the largest mean posterior over the words that have
-    a letter, and that mean. ``und`` and 0 for null texts, texts without a letter, or without a field.
+def label_texts(texts: pa.Array, field: Field | None) -> tuple[list[str], np.ndarray]:
+    """Language and score of each whole text: the language with the largest mean posterior over the words that have a
+    letter, and that mean; ``und`` and 0 for null texts, texts without a letter, or without a field.
     """
+    n = len(texts)
+    lang, score = [UNKNOWN] * n, np.zeros(n)
+    if field is None or not n:
+        return lang, score
+    f = Features(texts)
+    p = marginals(field.emissions(f), f.chains, field.steps)
+    c = np.zeros((len(p) + 1, p.shape[1]))
+    np.cumsum(p * f.lettered[:, None], axis=0, out=c[1:])
+    total = c[f.words.first[1:]] - c[f.words.first[:-1]]
+    count = total.sum(1)
+    best = total.argmax(1)
+    ascii_letters = np.concatenate([[0], np.cumsum(_LETTER[f.words.buf] & (f.words.buf < 128))])
+    plain = ascii_letters[f.words.off[1:]] > ascii_letters[f.words.off[:-1]]
+    for r in np.flatnonzero(count > 0.5).tolist():
+        if plain[r] or any(map(str.isalpha, texts[r].as_py())):
+            lang[r], score[r] = field.langs[best[r]], min(1.0, total[r, best[r]] / count[r])
+    return lang, score
+
+
+def predict(docs: DataFrame, field: Field | None) -> DataFrame:
+    """doc_id, lang_pred and score of each whole text; see ``label_texts``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", 3_000_000):
-                n = batch.num_rows
-                lang, score = [UNKNOWN] * n, np.zeros(n)
-                if field is not None:
-                    f = Features(batch.column(1))
-                    p = marginals(field.emissions(f), f.chains, field.steps)
-                    c = np.zeros((len(p) + 1, p.shape[1]))
-                    np.cumsum(p * f.lettered[:, None], axis=0, out=c[1:])
-                    total = c[f.words.first[1:]] - c[f.words.first[:-1]]
-                    count = total.sum(1)
-                    best = total.argmax(1)
-                    ascii_letters = np.concatenate([[0], np.cumsum(_LETTER[f.words.buf] & (f.words.buf < 128))])
-                    plain = ascii_letters[f.words.off[1:]] > ascii_letters[f.words.off[:-1]]
-                    for r in np.flatnonzero(count > 0.5).tolist():
-                        if plain[r] or any(map(str.isalpha, batch.column(1)[r].as_py())):
-                            lang[r], score[r] = field.langs[best[r]], min(1.0, total[r, best[r]] / count[r])
+                lang, score = label_texts(batch.column(1), field)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def with_language(docs: DataFrame, field: Field | None) -> DataFrame:
+    """``docs`` with lang_pred and lang_score beside its own columns."""
+
+    @F.arrow_udf("lang string, score double")
+    def label(texts: pa.Array) -> pa.Array:
+        langs, scores = [], []
+        for batch in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 3_000_000):
+            lang, score = label_texts(batch.column(0), field)
+            langs += lang
+            scores.append(score)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=["lang", "score"])
+
+    out = docs.withColumn("language_", label("text"))
+    return out.withColumn("lang_pred", F.col("language_.lang")).withColumn("lang_score", F.col("language_.score")).drop("language_")
+
+
 def held_out_rule(n: int = 5):
     """Whether crc32 of the id's text leaves no remainder by ``n``; null ids are not held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n == 0, F.lit(False))

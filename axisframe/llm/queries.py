@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, neardup, pagetext, pieces, quality, vectors, warc
-from .common import fresh_path, table
+from . import ann, langid, linededup, mixing, neardup, pagetext, pieces, quality, vectors, warc
+from .common import fresh_path, importable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,8 +17,7 @@ ORACLES: dict[str, str] = {}
 def _query(name: str, sql: str | None = None):
     def add(f):
         def run(spark, sf_dir):
-            # Workers import this package from where the driver has it, unless it is installed there.
-            spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+            importable(spark)
             return f(spark, sf_dir)
 
         QUERIES[name] = run
@@ -30,6 +28,11 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+@_query("op1_nearest")
+def op1_nearest(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), lambda i: i % 100 == 0)
+
+
 @_query(
     "op2_mixing",
     r"""
