@@ -13,6 +13,8 @@ WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 #: A source's keys are histogrammed into so many bins before any of them is ordered.
 BINS = 4096
+#: The table of sources is broadcast only up to so many rows; beyond that it is joined as any other.
+BROADCAST_SOURCES = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 #: Signs whose share of a text lowers its quality weight.
 NOISE = "!#$%&*|"
@@ -48,14 +50,16 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EP
     rows = sizes.withColumn("w", w.cast("double")).withColumn("cap", (most_epochs * F.col("source_size")).cast("double"))
     rows = rows.withColumn("at", F.col("cap") / F.col("w"))
     every = Window.partitionBy()
-    before = Window.orderBy("at", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = Window.orderBy("at", F.col("source").asc_nulls_last())
+    before = ranked.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("place", F.row_number().over(ranked))
     rows = rows.withColumn("left", F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
     rows = rows.withColumn("heavy", F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     rows = rows.withColumn("level", F.col("left") / F.col("heavy"))
     # The first source whose cap is not below its share sets the level for itself and all after it.
-    level = F.min(F.when(F.col("level") <= F.col("at"), F.col("level"))).over(every)
-    first = F.min(F.when(F.col("level") <= F.col("at"), F.col("at"))).over(every)
-    target = F.when(F.col("at") < first, F.col("cap")).otherwise(level * F.col("w"))
+    first = F.min(F.when(F.col("level") <= F.col("at"), F.struct("place", "level"))).over(every)
+    rows = rows.withColumn("first", first)
+    target = F.when(F.col("place") < F.col("first.place"), F.col("cap")).otherwise(F.col("first.level") * F.col("w"))
     return rows.select("source", "source_size", F.coalesce(target, F.col("cap")).alias("target"))
 
 
@@ -94,11 +98,14 @@ def cutoffs(slim: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EPOCHS, wh
     if whole:
         part = F.when(2 * (F.col("rest") - F.col("sum") + F.col("step")) >= F.col("step"), F.floor(F.col("step") / F.col("n")).cast("long")).otherwise(0)
     hit = hit.select("s", F.col("mix_key").alias("cut_key"), F.col("doc_id").alias("cut_id"), part.alias("cut_part"))
-    return targets.join(hit, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "rest").withColumnRenamed("source", "cut_source")
+    ends = targets.join(hit, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "rest")
+    return cut(ends.withColumnRenamed("source", "cut_source"), "ends")
 
 
 def taken(measured_docs: DataFrame, ends: DataFrame) -> DataFrame:
     """``measured_docs`` with source_size, target, epochs, mix_part (words of the fractional epoch) and taken."""
+    if ends.count() <= BROADCAST_SOURCES:
+        ends = F.broadcast(ends)
     rows = measured_docs.join(ends, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
     low = (F.col("mix_key") < F.col("cut_key")) | (
         (F.col("mix_key") == F.col("cut_key")) & (F.coalesce(F.col("doc_id") < F.col("cut_id"), F.col("doc_id").isNotNull() & F.col("cut_id").isNull()))

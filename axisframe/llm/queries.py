@@ -45,10 +45,11 @@ k AS (SELECT *, -ln(u) / w AS key FROM d),
 s AS (
   SELECT source, sum(size)::BIGINT AS n, ([5, 2, 1])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM k GROUP BY source),
 r AS (SELECT *, 3.0::DOUBLE * n AS cap, 3.0::DOUBLE * n / w AS lim FROM s),
-l AS (SELECT *, (sum(n) OVER ()::DOUBLE - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level
+l AS (SELECT *, row_number() OVER (ORDER BY lim, source NULLS LAST) AS place,
+    (sum(n) OVER ()::DOUBLE - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level
   FROM r WINDOW o AS (ORDER BY lim, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, n, coalesce(CASE WHEN lim < min(CASE WHEN level <= lim THEN lim END) OVER () THEN cap
-    ELSE min(CASE WHEN level <= lim THEN level END) OVER () * w END, cap) AS target FROM l),
+h AS (SELECT *, min(CASE WHEN level <= lim THEN place END) OVER () AS first FROM l),
+t AS (SELECT source, n, coalesce(CASE WHEN place < first THEN cap ELSE max(CASE WHEN place = first THEN level END) OVER () * w END, cap) AS target FROM h),
 e AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END::BIGINT AS epochs FROM t),
 f AS (SELECT *, floor(target - epochs * n)::BIGINT AS rest FROM e),
 g AS (SELECT k.doc_id, k.size, f.n, f.target, f.epochs, f.rest,
