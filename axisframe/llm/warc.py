@@ -17,7 +17,7 @@ REVISIT_FROM = 1000
 #: Characters of a block that one segment holds.
 SEGMENT = 32_768
 #: Characters in one chunk of the transfer framing.
-CHUNK = 4_096
+CHUNK = 16_384
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -55,7 +55,7 @@ def write_warc(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM, se
     rows = rows.withColumn("digest", F.sha1(F.encode("payload", "UTF-8"))).withColumn("bytes", F.octet_length("payload"))
     owner = pages.select("page_id", payload.alias("payload")).where(F.octet_length("payload") >= revisit_from)
     owner = owner.groupBy(F.sha1(F.encode("payload", "UTF-8")).alias("d")).agg(F.max("page_id").alias("owner"), F.count("*").alias("n"))
-    rows = rows.join(owner.where("n > 1").drop("n"), F.col("digest") == F.col("d"), "left").drop("d")
+    rows = rows.join(owner.where("n > 1").drop("n").hint("shuffle_hash"), F.col("digest") == F.col("d"), "left").drop("d")
     again = F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     uri = F.regexp_replace("url", r"[\x00-\x20]", "%20")
     rows = rows.withColumn("id", _urn(F.col("page_id"), F.col("digest")))
@@ -82,7 +82,7 @@ def write_warc(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM, se
         F.when(F.col("k") + 1 == F.col("of"), line("WARC-Segment-Total-Length", F.col("total"))).otherwise(""),
     )
     record = F.concat(F.lit("WARC/1.1\r\n"), F.when(F.col("k") == 0, first).otherwise(more), line("Content-Length", F.octet_length("part")), F.lit("\r\n"), F.col("part"))
-    rows.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 20_000).text(path)
 
 
 def decode_chunked(block: bytes) -> bytes:
@@ -127,93 +127,106 @@ def _inflate(data: bytes) -> Iterator[bytes]:
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields by lower-case name, block) of each record in a file's bytes."""
-    left, pieces = b"", _inflate(data)
+    left, at, pieces = b"", 0, _inflate(data)
 
     def fill(n: int) -> bool:
-        nonlocal left
-        have = [left]
-        size = len(left)
-        while size < n:
-            piece = next(pieces, None)
-            if piece is None:
-                left = b"".join(have)
-                return False
+        """Have ``n`` bytes from ``at`` on, if the file has them."""
+        nonlocal left, at
+        if len(left) - at >= n:
+            return True
+        have, size = [left[at:]], len(left) - at
+        at = 0
+        while size < n and (piece := next(pieces, None)) is not None:
             have.append(piece)
             size += len(piece)
         left = b"".join(have)
-        return True
+        return size >= n
 
     while True:
-        while True:
-            left = left.lstrip(b"\r\n")
-            if left or not fill(1):
-                break
-        if not left:
+        while fill(1) and left[at] in b"\r\n":
+            at += 1
+        if not fill(1):
             return
-        while (end := left.find(b"\r\n\r\n")) < 0:
-            if not fill(len(left) + 1):
+        while (end := left.find(b"\r\n\r\n", at)) < 0:
+            if not fill(len(left) - at + 1):
                 raise ValueError("a record's header does not end")
-        lines = left[:end].decode("utf-8").split("\r\n")
+        lines = left[at:end].decode("utf-8").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("no record starts here")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        at = end + 4
         n = int(fields["content-length"])
-        if not fill(end + 4 + n):
+        if not fill(n):
             raise ValueError("a record is cut off")
-        yield fields, left[end + 4 : end + 4 + n]
-        left = left[end + 4 + n :]
+        yield fields, left[at : at + n]
+        at += n
+
+
+def _finish(kind: str, digest: str | None, block: bytes, name: str) -> tuple[int | None, str | None, bytes | None]:
+    """Size, digest and payload of a whole block; a revisit has only the digest of what it refers to."""
+    if kind == "revisit":
+        return None, digest, None
+    payload = http_payload(block)
+    found = hashlib.sha1(payload).hexdigest()
+    if digest and digest != found:
+        raise ValueError(f"{name}: the payload does not have its digest")
+    return len(payload), found, payload
+
 
+_COLUMNS = "id string, kind string, page_id long, refers string, origin string, segment int, total long, payload_bytes long, payload_digest string, data binary"
+_ARROW = pa.schema([("id", pa.string()), ("kind", pa.string()), ("page_id", pa.int64()), ("refers", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("data", pa.binary())])
 
-RAW = "id string, kind string, page_id long, refers string, origin string, segment int, total long, digest string, block binary"
-_RAW_ARROW = pa.schema([("id", pa.string()), ("kind", pa.string()), ("page_id", pa.int64()), ("refers", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("digest", pa.string()), ("block", pa.binary())])
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[] for _ in _ARROW]
+    return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
-def _parse(batches):
+
+def _parse(batches, keep: bool):
     for batch in batches:
         for content in batch.column(0):
             rows, size = [], 0
             for f, block in parse_records(content.as_py()):
                 number = lambda k: int(f[k]) if f.get(k) else None  # noqa: B023, E731
-                rows.append((f["warc-record-id"], f["warc-type"], number("x-page-id"), f.get("warc-refers-to"), f.get("warc-segment-origin-id"), number("warc-segment-number"), number("warc-segment-total-length"), (f.get("warc-payload-digest") or "").removeprefix("sha1:"), block))
-                size += len(block)
+                name, kind, segment = f["warc-record-id"], f["warc-type"], number("warc-segment-number")
+                digest = (f.get("warc-payload-digest") or "").removeprefix("sha1:") or None
+                row = (name, kind, number("x-page-id"), f.get("warc-refers-to"), f.get("warc-segment-origin-id"), segment, number("warc-segment-total-length"))
+                if segment is None:
+                    n, digest, data = _finish(kind, digest, block, name)
+                    rows.append((*row, n, digest, data if keep else None))
+                    size += len(data or b"") * keep
+                else:
+                    rows.append((*row, None, digest, block))
+                    size += len(block)
                 if size > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _RAW_ARROW, strict=True)], schema=_RAW_ARROW)
+                    yield _rows(rows)
                     rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _RAW_ARROW, strict=True)], schema=_RAW_ARROW)
+            yield _rows(rows)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives under ``path`` as it stands, segments apart."""
+def read_records(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
+    """The records of the archives under ``path``: whole ones with size and digest of their payload (and the payload
+    if asked for), segments with their block.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_parse, RAW)
-
-
-_WHOLE = pa.schema([("id", pa.string()), ("kind", pa.string()), ("page_id", pa.int64()), ("refers", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+    return files.mapInArrow(lambda it: _parse(it, payloads), _COLUMNS)
 
 
-def _whole(batches, keep: bool):
+def _join(batches, keep: bool):
     for batch in batches:
         out = []
         for r in batch.to_pylist():
             blocks = {}
             for s in r["parts"]:
-                blocks.setdefault(s["segment"] or 1, s["block"])
+                blocks.setdefault(s["segment"], s["data"])
             if sorted(blocks) != list(range(1, len(blocks) + 1)):
-                raise ValueError(f"{r['id']}: a segment is missing")
+                raise ValueError(f"{r['origin']}: a segment is missing")
             block = b"".join(blocks[k] for k in sorted(blocks))
-            if r["total"] is not None and r["total"] != len(block) or r["total"] is None and len(blocks) > 1:
-                raise ValueError(f"{r['id']}: the segments are not as long as the last one says")
-            if r["kind"] == "revisit":
-                out.append((r["id"], r["kind"], r["page_id"], r["refers"], None, r["digest"], None))
-                continue
-            payload = http_payload(block)
-            digest = hashlib.sha1(payload).hexdigest()
-            if r["digest"] and r["digest"] != digest:
-                raise ValueError(f"{r['id']}: the payload does not have its digest")
-            out.append((r["id"], r["kind"], r["page_id"], r["refers"], len(payload), digest, payload if keep else None))
-        columns = list(zip(*out, strict=True)) or [[] for _ in _WHOLE]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, _WHOLE, strict=True)], schema=_WHOLE)
+            if r["total"] != len(block):
+                raise ValueError(f"{r['origin']}: the segments are not as long as the last one says")
+            n, digest, data = _finish(r["kind"], r["payload_digest"], block, r["origin"])
+            out.append((r["origin"], r["kind"], r["page_id"], r["refers"], None, None, None, n, digest, data if keep else None))
+        yield _rows(out)
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
@@ -224,18 +237,14 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
     differs, a broken chunk or a digest that differs raises an error. Only segmented records are shuffled
     with their blocks. A revisit takes size and page from the response it refers to.
     """
-    raw = read_records(spark, path)
-    struct = F.struct("segment", "block")
-    alone = raw.where("segment IS NULL AND origin IS NULL").select("id", "kind", "page_id", "refers", "digest", "total", F.array(struct).alias("parts"))
-    split = raw.where("segment IS NOT NULL OR origin IS NOT NULL").withColumn("origin", F.coalesce("origin", "id"))
+    raw = cut(read_records(spark, path, payloads), "records")
+    split = raw.where("segment IS NOT NULL").withColumn("origin", F.coalesce("origin", "id"))
     first = lambda c: F.max(F.when(F.col("id") == F.col("origin"), F.col(c))).alias(c)
-    joined = split.groupBy("origin").agg(first("kind"), first("page_id"), first("refers"), first("digest"), F.max("total").alias("total"), F.collect_list(struct).alias("parts"))
-    joined = joined.select(F.col("origin").alias("id"), "kind", "page_id", "refers", "digest", "total", "parts")
-    schema = "id string, kind string, page_id long, refers string, payload_bytes long, payload_digest string, payload binary"
-    whole = alone.unionByName(joined).mapInArrow(lambda it: _whole(it, payloads), schema)
-    if not payloads:
-        whole = whole.drop("payload")
-    whole = cut(whole, "records").dropDuplicates(["id"])
+    parts = F.collect_list(F.struct("segment", "data")).alias("parts")
+    split = split.groupBy("origin").agg(first("kind"), first("page_id"), first("refers"), first("payload_digest"), F.max("total").alias("total"), parts)
+    whole = raw.where("segment IS NULL").union(split.mapInArrow(lambda it: _join(it, payloads), _COLUMNS))
+    whole = whole.select("id", "kind", "page_id", "refers", "payload_bytes", "payload_digest", *(["data"] if payloads else [])).dropDuplicates(["id"])
     seen = whole.where("kind = 'response'").select(F.col("id").alias("at"), F.col("page_id").alias("to"), F.col("payload_bytes").alias("n"))
+    seen = seen.join(whole.where("kind = 'revisit'").select("refers").distinct(), F.col("at") == F.col("refers"), "left_semi")
     out = whole.join(seen, F.col("refers") == F.col("at"), "left")
-    return out.select("page_id", F.coalesce("payload_bytes", "n").alias("payload_bytes"), "payload_digest", F.col("kind").alias("record_type"), F.col("to").alias("refers_to"), *(["payload"] if payloads else []))
+    return out.select("page_id", F.coalesce("payload_bytes", "n").alias("payload_bytes"), "payload_digest", F.col("kind").alias("record_type"), F.col("to").alias("refers_to"), *([F.col("data").alias("payload")] if payloads else []))
