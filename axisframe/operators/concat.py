@@ -6,7 +6,7 @@ import itertools
 import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 from typing import Any
 
 import numpy as np
@@ -206,13 +206,15 @@ def concat(stores: Mapping[str, Store], join: str = "inner", merge: str | None =
     keys, items = list(stores), list(stores.values())
     if not items:
         raise ValueError("nothing to concatenate")
+    widths = []
     for key, s in stores.items():
-        twice = axis.repeated_names(s.var.data).limit(3).collect()
-        if twice:
-            raise ValueError(f"{key}: the variable {twice[0].name!r} comes {twice[0].n} times")
+        n, distinct = s.var.data.agg(F.count("*"), F.count_distinct("name")).first()
+        if n > distinct:
+            twice = axis.repeated_names(s.var.data).first()
+            raise ValueError(f"{key}: the variable {twice.name!r} comes {twice.n} times")
+        widths.append(n)
     lengths = [s.obs.data.count() for s in items]
     offsets = [0, *itertools.accumulate(lengths)][:-1]
-    widths = [s.var.data.count() for s in items]
     if join == "inner":
         target = axis.renumbered(axis.shared_names([s.var.data for s in items])).select("name", F.col("new_pos").alias("pos"))
     else:
@@ -222,12 +224,17 @@ def concat(stores: Mapping[str, Store], join: str = "inner", merge: str | None =
         raise ValueError("the inputs have no variable in common")
     # A variable's place in each input, and in the result.
     maps = [s.var.data.select("name", "pos").join(target.withColumnRenamed("pos", "new_pos"), "name").select("pos", "new_pos") for s in items]
-    whole = [m.count() == width for m in maps]
+
+    @cache
+    def whole(k: int) -> bool:
+        """Whether an input has every variable of the result; asked only for inputs that bring something along var."""
+        return maps[k].count() == width
+
     obs = union_obs([s.obs for s in items], offsets, join, keys, label, index_unique)
     var, categories = target, {}
     for c in dict.fromkeys(c for s in items for c in s.var.columns):
         views = [s.var.data.join(m, "pos").select("new_pos", f"`{c}`") if c in s.var.columns else None for s, m in zip(items, maps, strict=True)]
-        at = choose([v is not None and w for v, w in zip(views, whole, strict=True)], lambda a, b, v=views: _same_rows(v[a], v[b]), merge)
+        at = choose([v is not None and merge is not None and whole(k) for k, v in enumerate(views)], lambda a, b, v=views: _same_rows(v[a], v[b]), merge)
         if at is not None:
             var = var.join(views[at].withColumnRenamed("new_pos", "pos"), "pos", "left")
             if c in items[at].var.categories:
@@ -254,7 +261,7 @@ def concat(stores: Mapping[str, Store], join: str = "inner", merge: str | None =
         for s, m in zip(items, maps, strict=True):
             own = s.matrices.get(path)
             views.append(None if own is None else matrix.taken(own, m, m if pair else None, (width, width if pair else own.shape[1])))
-        at = choose([v is not None and w for v, w in zip(views, whole, strict=True)], lambda a, b, v=views: v[a].dtype == v[b].dtype and v[a].layout == v[b].layout and _same_rows(v[a].data, v[b].data), merge)
+        at = choose([v is not None and merge is not None and whole(k) for k, v in enumerate(views)], lambda a, b, v=views: v[a].dtype == v[b].dtype and v[a].layout == v[b].layout and _same_rows(v[a].data, v[b].data), merge)
         if at is not None:
             found[path] = views[at]
     frames: dict[str, Frame] = {}
