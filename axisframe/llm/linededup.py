@@ -11,18 +11,32 @@ from .common import cut
 MIN_WORDS = 5
 SPACES = r"[\x20\x09-\x0D]+"
 #: Bits of the map that spares lines without a near neighbour the shuffle of their words.
-MAP_BITS = 1 << 22
+MAP_BITS = 1 << 19
 _LOW = (1 << 40) - 1
 
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """One row per line of ``least`` words or more: its document and position, two hashes of its words, the words."""
-    rows = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.withColumn("words", F.filter(F.split("line", SPACES), lambda w: w != "")).where(F.size("words") >= least)
-    return rows.select("doc_id", "th", "pos", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), F.size("words").alias("n"), "words")
+def _odd(text: Column) -> Column:
+    """Whether a text has white space other than single spaces and line ends."""
+    odd = text.contains("  ")
+    for sign in ("\t", "\r", "\x0b", "\x0c"):
+        odd = odd | text.contains(sign)
+    return odd
 
 
-def _half_keys(n: Column, words: Column) -> Column:
+def _lines(docs: DataFrame, least: int) -> DataFrame:
+    """One row per line of ``least`` words or more: its document and position, two hashes of its words, their number, the
+    words as one text with one space between."""
+    lines = F.split("text", "\n")
+    lines = F.transform(F.when(_odd(F.col("text")), F.transform(lines, lambda x: F.regexp_replace(x, SPACES, " "))).otherwise(lines), lambda x: F.trim(x))
+    words = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    # Made within the generator, so that no later step works them out again.
+    lines = F.transform(lines, lambda x: F.struct(x.alias("line"), words(x).alias("n")))
+    rows = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(lines).alias("pos", "l"))
+    rows = rows.where(F.col("l.n") >= least).select("doc_id", "th", "pos", F.col("l.n").alias("n"), F.col("l.line").alias("line"))
+    return rows.select("doc_id", "th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "n", "line")
+
+
+def _half_keys(n: Column, line: Column) -> list[Column]:
     """Hashes of the halves of a line, for partners of equal length and of one word less.
 
     Two lines that one word tells apart share the first half or the second one of the shorter.
@@ -30,9 +44,9 @@ def _half_keys(n: Column, words: Column) -> Column:
     keys = []
     for m in (n, n - 1):
         p = F.floor(m / 2).cast("int")
-        keys.append(F.xxhash64(F.lit("head"), m, F.slice(words, 1, p)))
-        keys.append(F.xxhash64(F.lit("tail"), m, F.slice(words, n - (m - p) + 1, m - p)))
-    return F.array(*keys)
+        keys.append(F.xxhash64(F.lit("head"), m, F.call_function("substring_index", line, F.lit(" "), p)))
+        keys.append(F.xxhash64(F.lit("tail"), m, F.call_function("substring_index", line, F.lit(" "), p - m)))
+    return keys
 
 
 def _bit_map(rows: DataFrame, column: str, bits: int) -> bytes:
@@ -100,21 +114,23 @@ def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """
     lines = _lines(docs, least)
     place = F.struct("doc_id", "pos")
-    kinds = lines.groupBy("h1", "h2", "n").agg(F.min(place).alias("place"), F.count("*").alias("times"), F.min(_half_keys(F.col("n"), F.col("words"))).alias("halves"))
+    # The halves follow from the line, so any one of equal lines gives them.
+    halves = [F.first(h).alias(f"half{k}") for k, h in enumerate(_half_keys(F.col("n"), F.col("line")))]
+    kinds = lines.groupBy("h1", "h2", "n").agg(F.min(place).alias("place"), F.count("*").alias("times"), *halves)
     kinds = cut(kinds, "lines")
-    halves = kinds.select("h1", "h2", F.explode("halves").alias("half"))
+    halves = kinds.select("h1", "h2", F.explode(F.array(*[f"half{k}" for k in range(4)])).alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    near = cut(halves.join(shared, "half", "left_semi").select("h1", "h2").distinct(), "shared")
+    near = cut(halves.join(shared.hint("shuffle_hash"), "half", "left_semi").select("h1", "h2").distinct(), "shared")
     bits = _bit_map(near, "h1", MAP_BITS)
     own = kinds.join(near, ["h1", "h2"], "left_semi").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "place")
     texts = lines.where(_in_map(F.col("h1"), bits, MAP_BITS)).withColumn("at", place)
     texts = texts.join(own, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & F.col("at").eqNullSafe(F.col("place")))
-    texts = cut(texts.select("h1", "h2", "n", "place", "words").dropDuplicates(["h1", "h2"]), "words")
+    texts = cut(texts.select("h1", "h2", "n", "place", F.split("line", " ").alias("words")).dropDuplicates(["h1", "h2"]), "words")
     rows = cut(_variants(texts), "variants")
     who = F.struct("place", "h1", "h2")
     least_of = lambda role: F.min(F.when(F.col("role") == role, who)).alias(f"m{role}")
     groups = rows.groupBy("key").agg(F.count("*").alias("c"), *[least_of(r) for r in (0, 1, 2)]).where("c > 1").drop("c")
-    met = rows.join(groups, "key")
+    met = rows.join(groups.hint("shuffle_hash"), "key")
     first = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
     met = met.withColumn("m", first).where("m.place < place")
     pairs = met.select("h1", "h2", F.col("m.h1").alias("o1"), F.col("m.h2").alias("o2")).distinct()
@@ -124,20 +140,24 @@ def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     close = cut(close.select("h1", "h2").distinct().withColumn("close", F.lit(True)), "close")
     verdict = kinds.select("h1", "h2", "place", "times").join(close, ["h1", "h2"], "left").where("times > 1 OR close")
     verdict = verdict.select("h1", "h2", "place", "close")
-    met = lines.select("doc_id", "th", "pos", "h1", "h2").join(verdict, ["h1", "h2"])
+    met = lines.select("doc_id", "th", "pos", "h1", "h2").join(verdict.hint("shuffle_hash"), ["h1", "h2"])
     return met.where(F.coalesce("close", F.lit(False)) | (F.struct("doc_id", "pos") > F.col("place"))).select("doc_id", "th", "pos")
 
 
 def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the lines that ``repeats`` names taken out of text, and n_lines and n_dropped.
+    """``docs`` with the lines that ``repeats`` names taken out of text, and n_lines and n_dropped (in place of columns of
+    these names).
 
     Null texts stay null with no lines, empty ones are one empty line. Rows that repeat a doc_id and a text lose the same
     lines and none to each other; other columns stay as they are.
     """
     gone = repeats(docs.select("doc_id", "text"), least).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone_pos"))
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th"), "gone_pos")
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_th")), "left")
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th"), "gone_pos").hint("shuffle_hash")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    own = docs.select("doc_id", "text", *([F.struct(*others).alias("gone_others")] if others else []))
+    out = own.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_th")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone_pos", i)), "\n")
-    columns = [F.when(F.col("gone_pos").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    fields = {"text": F.when(F.col("gone_pos").isNull(), F.col("text")).otherwise(kept), "doc_id": F.col("doc_id")}
+    columns = [fields.get(c, F.col("gone_others")[c] if others else None).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     return out.select(*columns, lines.alias("n_lines"), F.when(F.col("gone_pos").isNull(), 0).otherwise(F.size("gone_pos")).cast("long").alias("n_dropped"))
