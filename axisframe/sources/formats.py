@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
-from . import files, mtx, store, tables
+from . import chunked, files, mtx, store, tables
 
 
 @dataclass(frozen=True)
@@ -61,6 +61,7 @@ FORMATS = (
     Format("mtx-folder", _has("matrix.mtx", "barcodes.tsv"), mtx.read_folder, mtx.write_folder, ("names", "feature_type", "genome")),
     Format("mtx", _starts(mtx.BANNER.encode()), _matrix_only, lambda s, p, replace=False: mtx.write(s.matrices["X"], p, replace=replace), endings=(".mtx", ".mtx.gz")),
     Format("text", _text, tables.read_dense, options=("transpose", "sep"), endings=(".csv", ".tsv", ".txt", ".csv.gz", ".tsv.gz", ".txt.gz")),
+    Format("zarr", lambda spark, path: any(n in (".zgroup", "zarr.json") for n in files.names(spark, path)), chunked.read, chunked.write, endings=(".zarr",)),
     Format("store", _has(store.MANIFEST), store.load, lambda s, p, replace=False: store.save(s, p, replace), endings=(".store",)),
 )
 # Formats that need a library for HDF5 or pickles, which is not here, and how their files begin or end.
