@@ -20,12 +20,13 @@ BLOCKS = frozenset(
 LEFT_OUT = frozenset("nav footer aside form button select dialog menu svg canvas object audio video map datalist head label".split())
 CONTAINERS = frozenset("div section ul ol dl table header center details fieldset span p h1 h2 h3 h4 h5 h6 li figure article".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-ROLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|gdpr|"
-    r"menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo|promoted|related|respond|share|sharing|sidebar|skip|social|sponsor|sponsored|"
-    r"subscribe|toolbar|widget|replies|reply)(?:$|[\s_-])",
-    re.I,
+ROLE_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer gdpr "
+    "menu modal nav navbar navigation newsletter notice popup promo promoted related respond share sharing sidebar skip social sponsor sponsored subscribe "
+    "toolbar widget replies reply".split()
 )
+TOP_WORDS = frozenset("header masthead topbar".split())
+STATE_WORDS = frozenset("has with no without is not hide show".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|iframe|textarea|title|xmp|noembed|noframes)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
@@ -45,6 +46,15 @@ class Page:
     marked: bool
 
 
+def _names_role(value: str, inside: bool) -> bool:
+    """Whether one of the names in a class or id says that an element is no main text; has-sidebar and the like say nothing."""
+    for name in value.lower().split():
+        words = re.split("[_-]+", name)
+        if words[0] not in STATE_WORDS and (not ROLE_WORDS.isdisjoint(words) or not inside and not TOP_WORDS.isdisjoint(words)):
+            return True
+    return False
+
+
 def _marked_out(name: str, attributes: str, inside: bool) -> bool:
     """Whether an element is a menu, header, footer, sidebar, notice, advert, form or reader comment."""
     if name in LEFT_OUT or name == "header" and not inside:
@@ -53,7 +63,7 @@ def _marked_out(name: str, attributes: str, inside: bool) -> bool:
         return False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id") and (ROLE.search(value) or not inside and re.search(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", value, re.I)):
+        if key in ("class", "id") and _names_role(value, inside):
             return True
         if key == "role" and value.lower() in ROLES:
             return True
@@ -100,7 +110,7 @@ def parse(source: str) -> Page:
             elif name == skipped:
                 depth += -1 if closing else 1
                 ends = over = depth <= 0
-            elif name in ("article", "main") or closing and name in ("body", "html"):
+            elif name in ("article", "main") or closing and name in ("body", "html") or skipped == "head" and name == "body":
                 ends, over = True, False
             if ends:
                 flush()
