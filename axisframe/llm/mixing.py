@@ -134,9 +134,11 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, most_epochs: int = MOS
     The document at the cut is taken whole if more than half of it fits, so texts stay whole.
     Documents without words are kept once per whole epoch, at least once. Columns are those of ``docs``.
     """
-    columns = docs.columns
-    slim = cut(measured(docs.select("doc_id", "text", "source"), seed).drop("text"), "sizes")
-    rows = taken(measured(docs, seed), cutoffs(slim, weights, most_epochs, whole=True))
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    own = docs.select("doc_id", "text", "source", *([F.struct(*others).alias("mix_others")] if others else []))
+    slim = cut(measured(own.select("doc_id", "text", "source"), seed).drop("text"), "sizes")
+    rows = taken(measured(own, seed), cutoffs(slim, weights, most_epochs, whole=True))
     times = (F.col("epochs") + (F.col("mix_part") > 0).cast("long")).cast("int")
     times = F.when(F.col("mix_size") == 0, F.greatest(times, F.lit(1))).otherwise(times)
-    return rows.select(*columns, F.explode(F.array_repeat(F.lit(True), times)).alias("mix_copy")).drop("mix_copy")
+    rows = rows.select("doc_id", "text", "source", *(["mix_others"] if others else []), F.explode(F.array_repeat(F.lit(True), times)).alias("mix_copy"))
+    return rows.select(*[F.col("mix_others")[c].alias(c) if c in others else F.col(c) for c in docs.columns])
