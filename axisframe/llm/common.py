@@ -8,9 +8,15 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows in an Arrow batch.
+BATCH_ROWS = 2000
 
-def importable(spark: SparkSession) -> None:
-    """Let workers import this package from where the driver has it, unless a path is set for them."""
+
+def prepare(spark: SparkSession) -> None:
+    """Let workers import this package from where the driver has it, unless a path is set for them; and hand whole texts
+    over in batches of no more than BATCH_ROWS rows, which bounds both sides' buffers."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 

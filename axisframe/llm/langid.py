@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import IS_SPACE, LOWER, U, Words, slices
+from .textkernel import IS_SPACE, LOWER, U, Words, release, slices, tidy
 
 #: Documents of each language that the field is fitted on (about, by a hash of the id), and the most characters that
 #: such a document may have. Word counts of the lexicon come from all documents with a language.
 TRAIN_ROWS = 200
 TRAIN_CHARS = 20_000
 EPOCHS = 3
+#: Words of a chain: a line, or a run of so many words of a longer line.
+CHAIN = 256
 #: Buckets of each hashed feature table and of the lexicon.
 BUCKETS = 1 << 16
 LEXICON = 1 << 14
@@ -50,7 +52,9 @@ class Features:
         row = w.row()
         new = np.ones(len(w.start), bool)
         new[1:] = (row[1:] != row[:-1]) | (lines[1:] != lines[:-1])
-        #: Where each chain (a line's words) begins, end last.
+        place = np.arange(len(new))
+        new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % CHAIN == 0 if len(new) else new
+        #: Where each chain begins, end last.
         self.chains = np.append(np.flatnonzero(new), len(w.start))
 
 
@@ -170,6 +174,7 @@ def lexicon_counts(docs: DataFrame, langs: list[str]) -> np.ndarray:
     """Centred log-frequencies per language and bucket of hashed words, over all ``docs`` (text, lang)."""
     place = {x: k for k, x in enumerate(langs)}
 
+    @tidy
     def run(batches):
         held = np.zeros((len(langs), LEXICON), np.int64)
         for whole in batches:
@@ -238,9 +243,10 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
     """doc_id, lang_pred and score of each whole text; see ``label_texts``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @tidy
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 3_000_000):
+            for batch in slices(whole, "text"):
                 lang, score = label_texts(batch.column(1), field)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
@@ -253,10 +259,11 @@ def with_language(docs: DataFrame, field: Field | None) -> DataFrame:
     @F.arrow_udf("lang string, score double")
     def label(texts: pa.Array) -> pa.Array:
         langs, scores = [], []
-        for batch in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 3_000_000):
+        for batch in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
             lang, score = label_texts(batch.column(0), field)
             langs += lang
             scores.append(score)
+        release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=["lang", "score"])
 
     out = docs.withColumn("language_", label("text"))

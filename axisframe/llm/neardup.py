@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .components import components
 from .pairblocks import blocked, meetings, spanning
-from .textkernel import U, Words, mix, slices
+from .textkernel import U, Words, mix, slices, tidy
 
 #: Collisions in each of the two collections, and minhashes in each collision. With these
 #: 2 * 12 * 2 minhashes give 144 tables of four minhashes each; a pair at similarity 0.8 is in no common
@@ -76,6 +76,7 @@ def sketches(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @tidy
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -203,6 +204,7 @@ def confirm(docs: DataFrame, members: DataFrame, words: int, percent: int) -> Da
     those documents' texts.
     """
 
+    @tidy
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -245,5 +247,5 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = THRESH
 
 def keep_one(docs: DataFrame, words: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose component another row represents; columns stay as they are."""
-    gone = near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = near_duplicates(docs.select("doc_id", "text"), words, percent).where("NOT kept").select(F.col("doc_id").alias("neardup_gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["neardup_gone_id"], "left_anti")

@@ -12,9 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textkernel import tidy
+
 SPACE = "▁"
-#: Segments whose encoding a worker remembers at once, and their longest length in characters.
-REMEMBERED = 900_000
+#: Segments whose encoding a worker remembers in each of two generations, and their longest length in characters.
+REMEMBERED = 150_000
 REMEMBERED_LENGTH = 48
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
@@ -278,13 +280,13 @@ class Model:
         return "".join(out)
 
 
-_models: dict[bytes, tuple[Model, dict]] = {}
+_models: dict[bytes, tuple[Model, tuple[dict, dict]]] = {}
 
 
-def _model(data: bytes) -> tuple[Model, dict]:
+def _model(data: bytes) -> tuple[Model, tuple[dict, dict]]:
     key = hashlib.sha1(data).digest()
     if key not in _models:
-        _models[key] = Model(data), {}
+        _models[key] = Model(data), ({}, {})
     return _models[key]
 
 
@@ -292,7 +294,7 @@ class _Coder:
     """Encodes whole texts through a bounded memory of segments."""
 
     def __init__(self, data: bytes):
-        self.model, self.known = _model(data)
+        self.model, (self.known, self.older) = _model(data)
         #: Segments whose pieces do not read as the segment itself.
         self.odd: dict[str, str] = {}
 
@@ -329,9 +331,12 @@ class _Coder:
             for k, s in enumerate(segments):
                 if found[k] is None:
                     if s not in fresh:
-                        fresh[s] = self._segment(s)
+                        fresh[s] = self.older.get(s) or self._segment(s)
                     found[k] = fresh[s]
             if len(known) + len(fresh) > REMEMBERED:
+                # What was used since the last time stays reachable, the rest is forgotten.
+                self.older.clear()
+                self.older.update(known)
                 known.clear()
             known.update((s, x) for s, x in fresh.items() if len(s) <= REMEMBERED_LENGTH)
         ids = b",".join(found)
@@ -350,12 +355,13 @@ def token_digests(docs: DataFrame, model_path: str, ident: str = "doc_id") -> Da
     """Per row: ``ident``, n_tokens, ids_sha256 and decoded_sha256 of the whole text (null counts as empty).
 
     The model (below a megabyte) travels with the task. Rows are coded one by one in the batches that Arrow
-    hands over, with a memory of at most REMEMBERED segments a worker; there is no shuffle. Repeated rows give
+    hands over, with a memory of at most twice REMEMBERED segments a worker; there is no shuffle. Repeated rows give
     repeated rows; other columns are not read.
     """
     data = model_bytes(model_path)
     kind = docs.schema[ident].dataType.simpleString()
 
+    @tidy
     def run(batches):
         coder = _Coder(data)
         for batch in batches:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .textkernel import Words, slices
+from .textkernel import Words, slices, tidy
 
 #: Share of the pooled covariance in that of a class, and of its diagonal in the result.
 POOLED = 0.3
@@ -77,6 +77,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of each whole text; null counts as empty."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @tidy
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -116,6 +117,7 @@ class Discriminant:
 def _moments(train: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     """Count, sum and sum of outer products per class, added up in the tasks and then by (class, place)."""
 
+    @tidy
     def run(batches):
         held: dict[int, np.ndarray] = {}
         p = len(NAMES)
@@ -164,6 +166,7 @@ def fit(train: DataFrame, pooled: float = POOLED, diagonal: float = DIAGONAL) ->
         logs.append(np.log(np.diag(low)).sum())
     model = Discriminant(means, np.array(factors), np.array(logs))
 
+    @tidy
     def run(batches):
         for batch in batches:
             x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, len(NAMES))
@@ -194,6 +197,7 @@ def score(stats: DataFrame, model: Discriminant) -> DataFrame:
     keep = [c for c in stats.columns if c != "stats"]
     schema = ", ".join(f"`{c}` {stats.schema[c].dataType.simpleString()}" for c in keep)
 
+    @tidy
     def run(batches):
         for batch in batches:
             x = batch.column(at).flatten().to_numpy().reshape(batch.num_rows, len(NAMES))

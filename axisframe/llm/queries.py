@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, langid, linededup, mixing, neardup, pagetext, pieces, quality, vectors, warc
-from .common import fresh_path, importable, table
+from .common import fresh_path, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +17,7 @@ ORACLES: dict[str, str] = {}
 def _query(name: str, sql: str | None = None):
     def add(f):
         def run(spark, sf_dir):
-            importable(spark)
+            prepare(spark)
             return f(spark, sf_dir)
 
         QUERIES[name] = run

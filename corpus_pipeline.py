@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisframe.llm import langid, linededup, mixing, neardup, pieces
-from axisframe.llm.common import cut, importable
+from axisframe.llm.common import cut, prepare
 
 #: Documents whose language is less likely than this go.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -16,7 +16,7 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that have a language and carry it in ``lang``; null and letterless texts go."""
-    importable(spark)
+    prepare(spark)
     labelled = langid.with_language(docs, langid.learn(docs))
     kept = labelled.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE))
     return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
@@ -24,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated lines out of the texts; a document all of whose words went goes too. ``n_chars`` follows."""
-    importable(spark)
+    prepare(spark)
     out = linededup.dedup_lines(docs).where((F.col("n_dropped") == 0) | F.coalesce(F.col("text").rlike(mixing.WORD), F.lit(False)))
     columns = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns]
     return out.select(*columns)
@@ -32,19 +32,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates."""
-    importable(spark)
+    prepare(spark)
     return neardup.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat and leave out documents so that sources come to their target sizes; a repeated one is several rows."""
-    importable(spark)
+    prepare(spark)
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode and decode every row's text."""
-    importable(spark)
+    prepare(spark)
     return pieces.token_digests(docs, pieces.default_model(spark))
 
 
