@@ -31,7 +31,10 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     words = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1
     # Made within the generator, so that no later step works them out again.
     lines = F.transform(lines, lambda x: F.struct(x.alias("line"), words(x).alias("n")))
-    rows = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(lines).alias("pos", "l"))
+    # The hash stands below the generator, so that texts are neither hashed nor carried once per line.
+    rows = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), lines.alias("lines"))
+    # An outer generator, as a plain one has the planner work the lines out again to see whether there are any.
+    rows = rows.select("doc_id", "th", F.posexplode_outer("lines").alias("pos", "l"))
     rows = rows.where(F.col("l.n") >= least).select("doc_id", "th", "pos", F.col("l.n").alias("n"), F.col("l.line").alias("line"))
     return rows.select("doc_id", "th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "n", "line")
 
@@ -114,10 +117,12 @@ def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """
     lines = _lines(docs, least)
     place = F.struct("doc_id", "pos")
+    halves = [h.alias(f"half{k}") for k, h in enumerate(_half_keys(F.col("n"), F.col("line")))]
+    # Numbers alone, written once: the texts are read again only for lines that may have a near neighbour.
+    seen = cut(lines.select("doc_id", "th", "pos", "h1", "h2", "n", *halves), "lines")
     # The halves follow from the line, so any one of equal lines gives them.
-    halves = [F.first(h).alias(f"half{k}") for k, h in enumerate(_half_keys(F.col("n"), F.col("line")))]
-    kinds = lines.groupBy("h1", "h2", "n").agg(F.min(place).alias("place"), F.count("*").alias("times"), *halves)
-    kinds = cut(kinds, "lines")
+    kinds = seen.groupBy("h1", "h2", "n").agg(F.min(place).alias("place"), F.count("*").alias("times"), *[F.first(f"half{k}").alias(f"half{k}") for k in range(4)])
+    kinds = cut(kinds, "kinds")
     halves = kinds.select("h1", "h2", F.explode(F.array(*[f"half{k}" for k in range(4)])).alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
     near = cut(halves.join(shared.hint("shuffle_hash"), "half", "left_semi").select("h1", "h2").distinct(), "shared")
@@ -140,7 +145,7 @@ def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     close = cut(close.select("h1", "h2").distinct().withColumn("close", F.lit(True)), "close")
     verdict = kinds.select("h1", "h2", "place", "times").join(close, ["h1", "h2"], "left").where("times > 1 OR close")
     verdict = verdict.select("h1", "h2", "place", "close")
-    met = lines.select("doc_id", "th", "pos", "h1", "h2").join(verdict.hint("shuffle_hash"), ["h1", "h2"])
+    met = seen.select("doc_id", "th", "pos", "h1", "h2").join(verdict.hint("shuffle_hash"), ["h1", "h2"])
     return met.where(F.coalesce("close", F.lit(False)) | (F.struct("doc_id", "pos") > F.col("place"))).select("doc_id", "th", "pos")
 
 
