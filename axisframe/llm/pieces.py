@@ -16,7 +16,7 @@ from .textkernel import tidy
 
 SPACE = "▁"
 #: Segments whose encoding a worker remembers in each of two generations, and their longest length in characters.
-REMEMBERED = 150_000
+REMEMBERED = 350_000
 REMEMBERED_LENGTH = 48
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
@@ -300,8 +300,8 @@ class _Coder:
 
     def _segment(self, s: str) -> bytes:
         ids, _ = self.model.ids(self.model.cut(s))
-        surface = self._surface(ids)
-        if surface != s.replace(SPACE, " "):
+        # With pieces for all bytes, ids always stand for the segment's own characters.
+        if self.model.unknown in ids and (surface := self._surface(ids)) != s.replace(SPACE, " "):
             self.odd[s] = surface
         return ",".join(map(str, ids)).encode()
 
