@@ -266,7 +266,8 @@ def with_language(docs: DataFrame, field: Field | None) -> DataFrame:
         release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=["lang", "score"])
 
-    out = docs.withColumn("language_", label("text"))
+    # Said to be nondeterministic, so that a later filter on the result does not have texts labelled twice.
+    out = docs.withColumn("language_", label.asNondeterministic()("text"))
     return out.withColumn("lang_pred", F.col("language_.lang")).withColumn("lang_score", F.col("language_.score")).drop("language_")
 
 
