@@ -71,7 +71,8 @@ def write_warc(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM, se
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
     )
     rows = rows.select("id", "again", head.alias("head"), F.octet_length("block").alias("total"), _pieces(F.col("block"), segment).alias("parts"))
-    rows = rows.select("*", F.size("parts").alias("of"), F.posexplode("parts").alias("k", "part"))
+    # A block always has a part; a plain generator would have the planner make all blocks again to find out.
+    rows = rows.select("*", F.size("parts").alias("of"), F.posexplode_outer("parts").alias("k", "part"))
     first = F.concat(
         F.lit("WARC-Type: "), F.when(F.col("again"), "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: "), F.col("id"), F.lit("\r\n"),
         F.col("head"), F.when(F.col("of") > 1, "WARC-Segment-Number: 1\r\n").otherwise(""),
