@@ -17,22 +17,25 @@ SETTLED = 0.1
 #: Rows of a shard, each of which has a graph of its own; queries in a block.
 SHARD = 4096
 BLOCK = 512
-#: Nodes that a search keeps in view, that it starts from and that it opens at once.
+#: Nodes that a search keeps in view, that it starts from at least and that it opens at once.
 BEAM = 300
 STARTS = 48
 OPEN = 8
+#: Random edges of a node beside its neighbours in the search.
+LONG = 6
 
 
 def shards(rows: DataFrame, ident: str, vector: str, size: int = SHARD) -> DataFrame:
-    """(shard, node, id, v): usable vectors of the commonest dimension, dealt by a hash into shards of about ``size`` rows."""
+    """(shard, node, place, id, v): usable vectors of the commonest dimension, dealt by a hash into shards of about ``size``
+    rows; equal vectors of a shard are one node, places are a row's own."""
     v = F.col(vector).cast("array<double>")
     clean = rows.select(F.col(ident).alias("id"), v.alias("v")).where(usable(F.col("v")))
     dims = clean.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dim, n = dims[0] if dims else (0, 0)
     deal = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(max(1, -(-n // size)))).cast("int")
     clean = clean.where(F.size("v") == dim).withColumn("shard", deal)
-    order = Window.partitionBy("shard").orderBy("id", F.xxhash64("v"))
-    return clean.select("shard", (F.row_number().over(order) - 1).alias("node"), "id", "v")
+    order = Window.partitionBy("shard")
+    return clean.select("shard", (F.dense_rank().over(order.orderBy("v")) - 1).alias("node"), (F.row_number().over(order.orderBy("v", "id")) - 1).alias("place"), "id", "v")
 
 
 def _random_graph(nodes: DataFrame, k: int) -> DataFrame:
@@ -108,21 +111,37 @@ def descend(nodes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> Data
     return graph
 
 
+def _starts(x: np.ndarray, square: np.ndarray, many: int) -> np.ndarray:
+    """Nodes that cover a shard: each the farthest from those before it, and as many evenly spaced ones."""
+    at, out = 0, []
+    far = np.full(len(x), np.inf, np.float32)
+    for _ in range(min(many, len(x))):
+        out.append(at)
+        far = np.minimum(far, square - 2 * (x @ x[at]) + square[at])
+        at = int(far.argmax())
+    return np.union1d(out, np.linspace(0, len(x) - 1, many).astype(np.int64))
+
+
 def _search(left: pa.Table, right: pa.Table, top: int, beam: int) -> pa.Table:
-    """The nearest nodes of a shard to each query of a block, by greedy search from spread starts."""
+    """The nearest rows of a shard to each query of a block, by greedy search from starts that cover it.
+
+    A group of more nodes than a node has neighbours may have no edge to the rest, so there are more starts than such
+    groups, and every node has random edges too.
+    """
     out_q, out_id, out_d, out_place = [], [], [], []
     if left.num_rows and right.num_rows:
         order = np.argsort(left.column("node").to_numpy())
         full = matrix(left.column("v"))[order]
         x = full.astype(np.float32)
         square = (x * x).sum(1)
-        ids = left.column("id").to_numpy()[order]
+        members = left.column("ids").combine_chunks().take(pa.array(order)).to_pylist()
         c = left.column("around").combine_chunks().take(pa.array(order))
         at, flat = c.offsets.to_numpy(), c.flatten().to_numpy()
         at = at - at[0]
         shard, n = left.column("shard")[0].as_py(), len(x)
         # A shard that fits into view is seen as a whole.
-        spread = np.arange(n) if n <= beam else np.unique(np.linspace(0, n - 1, STARTS).astype(np.int64))
+        spread = np.arange(n) if n <= beam else _starts(x, square, max(STARTS, n // NEIGHBOURS))
+        far = np.random.default_rng(n).integers(0, n, (n, LONG))
         q = matrix(right.column("v"))
         for r in range(right.num_rows):
             y, own = q[r].astype(np.float32), right.column("node")[r].as_py() if right.column("home")[r].as_py() == shard else -1
@@ -140,19 +159,24 @@ def _search(left: pa.Table, right: pa.Table, top: int, beam: int) -> pa.Table:
                 if not len(todo):
                     break
                 opened[todo] = True
-                new = np.unique(np.concatenate([flat[at[p] : at[p + 1]] for p in pool[todo]]))
+                new = np.unique(np.concatenate([far[pool[todo]].ravel(), *[flat[at[p] : at[p + 1]] for p in pool[todo]]]))
                 new = new[~seen[new]]
                 seen[new] = True
                 pool, d = np.concatenate([pool, new]), np.concatenate([d, square[new] - 2 * (x[new] @ y)])
                 opened = np.concatenate([opened, np.zeros(len(new), bool)])
-            pool = pool[pool != own]
             best = pool[: 2 * top + 20]
             exact = np.sqrt(((full[best] - q[r]) ** 2).sum(1))
-            keep = np.lexsort((ids[best], exact))[:top]
-            out_q += [right.column("query")[r].as_py()] * len(keep)
-            out_place += [(right.column("home")[r].as_py() << 32) + right.column("node")[r].as_py()] * len(keep)
-            out_id += ids[best[keep]].tolist()
-            out_d += exact[keep].tolist()
+            query, rows = right.column("query")[r].as_py(), []
+            for p, e in zip(best.tolist(), exact.tolist(), strict=True):
+                ids = list(members[p])
+                if p == own and query in ids:
+                    ids.remove(query)
+                rows += [(e, i is None, i or 0) for i in ids]
+            rows = sorted(rows)[:top]
+            out_q += [query] * len(rows)
+            out_place += [(right.column("home")[r].as_py() << 32) + right.column("place")[r].as_py()] * len(rows)
+            out_id += [None if none else i for _, none, i in rows]
+            out_d += [e for e, *_ in rows]
     return pa.table({"query_id": pa.array(out_q, pa.int64()), "place": pa.array(out_place, pa.int64()), "vec_id": pa.array(out_id, pa.int64()), "score": pa.array(out_d, pa.float64())})
 
 
@@ -160,22 +184,25 @@ def nearest(rows: DataFrame, is_query, top: int = 10, ident: str = "vec_id", vec
     """(query_id, rank, vec_id, score): the ``top`` nearest found to each row that meets the condition ``is_query``.
 
     Score is the Euclidean distance in double precision; ties go to the smaller id; a query's own row is no candidate, other
-    rows with its id are. Null, empty, zero and partly null or non-finite vectors and those of an
+    rows with its id are. Equal vectors of a shard are one node, which gives its smallest ids. Null, empty, zero and partly null or non-finite vectors and those of an
     uncommon dimension take no part. Every shard's graph is searched for every query, queries in blocks, and
     the shards' best are merged; shards smaller than the beam are searched whole, so that few rows give all candidates. An
     empty table gives no rows.
     """
-    nodes = cut(shards(rows, ident, vector, shard), "nodes")
+    own = cut(shards(rows, ident, vector, shard), "rows")
+    # No answer needs more than the ``top`` smallest ids of a node, and its own row besides.
+    nodes = own.groupBy("shard", "node").agg(F.any_value("v").alias("v"), F.slice(F.array_sort(F.collect_list(F.struct(F.col("id").isNull().alias("none"), "id"))), 1, top + 1)["id"].alias("ids"))
+    nodes = cut(nodes, "nodes")
     graph = descend(nodes, k)
     around = _lists(graph, 2 * k)
     ready = nodes.join(around, ["shard", "node"], "left").withColumn("around", F.coalesce("around", F.array().cast("array<int>")))
-    queries = nodes.where(is_query(F.col("id"))).select(F.col("id").alias("query"), F.col("shard").alias("home"), "node", "v")
+    queries = own.where(is_query(F.col("id"))).select(F.col("id").alias("query"), F.col("shard").alias("home"), "node", "place", "v")
     queries = cut(queries, "queries")
     blocks = max(1, -(-queries.count() // BLOCK))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("query", "home", "node"), F.lit(blocks)).cast("int"))
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("query", "home", "place"), F.lit(blocks)).cast("int"))
     here = cut(ready, "ready").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     n = (nodes.agg(F.max("shard")).first()[0] or 0) + 1
     asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     found = here.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(lambda a, b: _search(a, b, top, beam), "query_id long, place long, vec_id long, score double")
-    order = Window.partitionBy("query_id", "place").orderBy("score", "vec_id")
+    order = Window.partitionBy("query_id", "place").orderBy("score", F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

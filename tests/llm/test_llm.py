@@ -495,6 +495,24 @@ def test_nearest_finds_neighbours(spark):
     assert hits >= 90 and set(by) == set(range(0, 930, 100))
 
 
+def test_nearest_crosses_between_groups_and_copies(spark):
+    """Tight groups larger than a node's neighbours have no edges to each other; a third of the rows is one vector."""
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.normal(size=(70, 24)), 50, axis=0) + rng.normal(size=(3500, 24)) * 0.1
+    x = rng.permutation(np.concatenate([x, np.repeat(rng.normal(size=(1, 24)), 1700, axis=0)]))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    by = collections.defaultdict(list)
+    for r in ann.nearest(df, lambda i: i % 40 == 0, shard=2000, beam=100).collect():
+        by[r.query_id].append(r.score)
+    hits = 0
+    for q in range(0, len(x), 40):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = np.sort(np.delete(d, q))[:10]
+        assert len(by[q]) == 10
+        hits += sum(s <= want[-1] + 1e-9 for s in by[q])
+    assert hits >= 0.99 * 10 * len(by) and len(by) == len(range(0, len(x), 40))
+
+
 def test_nearest_of_few_rows_gives_all(spark):
     df = spark.createDataFrame([(0, [0.0, 1.0]), (100, [1.0, 1.0]), (5, [2.0, 1.0]), (0, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(df, lambda i: i % 100 == 0).orderBy("query_id", "rank", "vec_id").collect()]
