@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 #: Payloads from this size on are written once and referred to afterwards.
 REVISIT_FROM = 1000
@@ -48,17 +48,18 @@ def write_warc(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM, se
     ``revisit_from`` bytes or more the one with the largest page_id is the response, the others are
     revisits. Blocks over ``segment`` characters continue in continuation records. Records are text, so
     Spark's own writer puts them where its file systems reach; it ends each with the blank lines that
-    the format asks for. Rows that repeat a page_id and a payload carry one record id.
+    the format asks for. Every row has a record id of its own, also one that repeats another; rows without a page_id are responses.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha1(F.encode("payload", "UTF-8"))).withColumn("bytes", F.octet_length("payload"))
-    owner = pages.select("page_id", payload.alias("payload")).where(F.octet_length("payload") >= revisit_from)
-    owner = owner.groupBy(F.sha1(F.encode("payload", "UTF-8")).alias("d")).agg(F.max("page_id").alias("owner"), F.count("*").alias("n"))
+    # Written down, so that a row has the same number wherever it is read.
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", payload.alias("payload"))
+    rows = cut(rows.withColumn("digest", F.sha1(F.encode("payload", "UTF-8"))).withColumn("bytes", F.octet_length("payload")), "pages")
+    owner = rows.where((F.col("bytes") >= revisit_from) & F.col("page_id").isNotNull()).groupBy(F.col("digest").alias("d")).agg(F.max(F.struct("page_id", "row")).alias("owner"), F.count("*").alias("n"))
+    stored = rows
     rows = rows.join(owner.where("n > 1").drop("n").hint("shuffle_hash"), F.col("digest") == F.col("d"), "left").drop("d")
-    again = F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
+    again = F.coalesce(F.col("page_id") != F.col("owner.page_id"), F.lit(False))
     uri = F.regexp_replace("url", r"[\x00-\x20]", "%20")
-    rows = rows.withColumn("id", _urn(F.col("page_id"), F.col("digest")))
+    rows = rows.withColumn("id", _urn(F.col("page_id"), F.col("digest"), F.col("row")))
     block = F.when(again, F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")).otherwise(F.concat(F.lit(HTTP), _chunked(F.col("payload"))))
     rows = rows.withColumn("block", block).withColumn("again", again)
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
@@ -67,7 +68,7 @@ def write_warc(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM, se
         F.lit(f"WARC-Date: {DATE}\r\n"),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         line("X-Page-ID", F.col("page_id")),
-        F.when(F.col("again"), F.concat(line("WARC-Refers-To", _urn(F.col("owner"), F.col("digest"))), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"))).otherwise(""),
+        F.when(F.col("again"), F.concat(line("WARC-Refers-To", _urn(F.col("owner.page_id"), F.col("digest"), F.col("owner.row"))), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"))).otherwise(""),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
     )
     rows = rows.select("id", "again", head.alias("head"), F.octet_length("block").alias("total"), _pieces(F.col("block"), segment).alias("parts"))
@@ -84,6 +85,7 @@ def write_warc(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM, se
     )
     record = F.concat(F.lit("WARC/1.1\r\n"), F.when(F.col("k") == 0, first).otherwise(more), line("Content-Length", F.octet_length("part")), F.lit("\r\n"), F.col("part"))
     rows.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 20_000).text(path)
+    discard(stored)
 
 
 def decode_chunked(block: bytes) -> bytes:
@@ -244,7 +246,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
     parts = F.collect_list(F.struct("segment", "data")).alias("parts")
     split = split.groupBy("origin").agg(first("kind"), first("page_id"), first("refers"), first("payload_digest"), F.max("total").alias("total"), parts)
     whole = raw.where("segment IS NULL").union(split.mapInArrow(lambda it: _join(it, payloads), _COLUMNS))
-    whole = whole.select("id", "kind", "page_id", "refers", "payload_bytes", "payload_digest", *(["data"] if payloads else [])).dropDuplicates(["id"])
+    whole = whole.select("id", "kind", "page_id", "refers", "payload_bytes", "payload_digest", *(["data"] if payloads else []))
     seen = whole.where("kind = 'response'").select(F.col("id").alias("at"), F.col("page_id").alias("to"), F.col("payload_bytes").alias("n"))
     seen = seen.join(whole.where("kind = 'revisit'").select("refers").distinct(), F.col("at") == F.col("refers"), "left_semi")
     out = whole.join(seen, F.col("refers") == F.col("at"), "left")

@@ -258,6 +258,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_warc_keeps_every_row(spark, tmp_path):
+    """Repeated rows, also without a page_id, come back as often; a revisit refers to one record."""
+    rows = [(9, "u", "y" * 999)] * 2 + [(None, "u", None)] * 3 + [(None, "v", "")] + [(None, "u", "z" * 2000)] * 2 + [(5, "u", "z" * 2000)] * 3 + [(4, "u", "z" * 2000)] * 2 + [(8, "u", "long " * 9000)] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    warc.write_warc(df, f"file://{tmp_path}/w", segment=20_000)
+    got = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect())
+    want = {(9, 999, "response", None): 2, (None, 0, "response", None): 4, (None, 2000, "response", None): 2, (5, 2000, "response", None): 3, (4, 2000, "revisit", 5): 2, (8, 45_000, "response", None): 2}
+    assert got == want
+    ids = [r.id for r in warc.read_records(spark, f"file://{tmp_path}/w").collect()]
+    assert len(ids) == len(set(ids))
+
+
 def test_warc_refuses_broken_records(spark, tmp_path):
     def record(kind, ident, block, *more):
         return ("\r\n".join(["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{ident}>", f"Content-Length: {len(block)}", *more]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
