@@ -183,16 +183,26 @@ def _near(path: str, other: str) -> int:
     return n
 
 
+def differs(a: list[str], b: list[str]) -> bool:
+    """Whether ``b`` can tell what is main text in ``a``, being no copy of it: ``a`` has lines of its own, and the lines that
+    only one of them has hold a fifth of the characters of all distinct lines or more."""
+    x, y = set(a), set(b)
+    return bool(x - y) and 5 * sum(map(len, x ^ y)) >= sum(map(len, x | y))
+
+
 def _extract(batches):
-    """Pages come sorted by host and path; each is held against its neighbour with the nearer path."""
-    last = now = None
+    """Pages come sorted by host and path; each is held against the nearer of the closest pages before and after it on its
+    host that are no copies of it."""
+    #: Pages of the host that have no later page to be held against yet, and the last pages that differ from each other.
+    waiting: list[tuple] = []
+    before: list[tuple] = []
     out: list[tuple] = []
 
-    def finish(before, one, after):
+    def finish(one, earlier, after):
         page_id, url, host, path, page = one
         best = None
-        for other in (before, after):
-            if other and host is not None and other[2] == host and (best is None or _near(path, other[3]) > _near(path, best[3])):
+        for other in (earlier, after):
+            if other and (best is None or _near(path, other[3]) > _near(path, best[3])):
                 best = other
         shared = set()
         if best is not None:
@@ -205,20 +215,33 @@ def _extract(batches):
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars", "n_shared"])
 
-    size = 0
+    size, of = 0, None
     for batch in batches:
         for r in range(batch.num_rows):
             page_id, url, source, host, path = (batch.column(k)[r].as_py() for k in range(5))
             new = (page_id, url, host, path or "", parse(source or ""))
-            if now is not None:
-                finish(last, now, new)
-                size += out[-1][3]
-                if size > 2_000_000:
-                    yield batch_of()
-                    size = 0
-            last, now = now, new
-    if now is not None:
-        finish(last, now, None)
+            done, ready = len(out), []
+            if waiting and new[4].lines == (was := waiting[-1][0][4]).lines and new[4].article == was.article and new[4].outside == was.outside and new[4].marked == was.marked:
+                new = (*new[:4], was)  # a run of exact copies is held once
+            if host is None or host != of:
+                ready = [(w, e, None) for w, e in waiting]
+                waiting, before, of = [], [], host
+            elif waiting and waiting[-1][0][4] is not new[4] and differs(waiting[-1][0][4].lines, new[4].lines):
+                # A run of copies ends.
+                ready = [(w, e, new if differs(w[4].lines, new[4].lines) else None) for w, e in waiting]
+                waiting = []
+            for w, e, after in ready:
+                finish(w, e, after)
+            earlier = next((b for b in reversed(before) if differs(new[4].lines, b[4].lines)), None)
+            waiting.append((new, earlier))
+            # Of a run of copies the last one stands for all.
+            before = [b for b in before if differs(b[4].lines, new[4].lines)][-1:] + [new]
+            size += sum(x[3] for x in out[done:])
+            if size > 2_000_000:
+                yield batch_of()
+                size = 0
+    for w, e in waiting:
+        finish(w, e, None)
     yield batch_of()
 
 
@@ -226,8 +249,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars, and n_shared (lines outside an article that the nearest page has too).
 
     Pages are ranged by (host, path, page_id), which splits a large host over tasks, and each is
-    compared with the neighbour whose path has more steps in common; at the edge of a range the neighbour
-    on its own side serves. Lines aligned by a longest common subsequence are deleted, except inside
+    compared with the closest page on either side that is no copy of it, of the two the one whose path has more steps
+    in common; at the edge of a range the side within it serves. Copies, exact or near, say nothing of what is main text. Lines aligned by a longest common subsequence are deleted, except inside
     marked articles, where different articles may well share lines. Null and empty html give an
     empty text; a null url or one without a host is compared with nothing; repeated rows stay apart.
     Other columns are not read.

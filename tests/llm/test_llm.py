@@ -555,6 +555,18 @@ def test_pages_without_marks_lose_what_neighbours_share(spark):
     assert got[1] == ("Alpha story\nmore", 2) and got[2] == ("Beta story", 2) and got[3] == ("Menu\nGamma", 0)
 
 
+def test_mirrored_pages_keep_their_text(spark):
+    """Copies on a host are not held against each other but against the closest page that differs."""
+    page = lambda *body: "<html><body>" + "".join(f"<div>{x}</div>" for x in body) + "</body></html>"
+    story = [f"Story line {k}" for k in range(12)]
+    rows = [(k, f"http://h/x/{k}", page("Menu", *story, "Imprint")) for k in range(1, 4)] + [(4, "http://h/x/4", page("Menu", *story[:-1], "changed", "Imprint"))]
+    rows += [(5, "http://h/y/1", page("Menu", "Other", "Imprint"))] + [(k, f"http://m/x/{k}", page(*story)) for k in (6, 7)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.text for r in pagetext.extract(df).collect()}
+    whole = "\n".join(story)
+    assert got == {1: whole, 2: whole, 3: whole, 4: "\n".join([*story[:-1], "changed"]), 5: "Other", 6: whole, 7: whole}
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rng = random.Random(10)
     for _ in range(200):
