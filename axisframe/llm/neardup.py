@@ -200,8 +200,8 @@ def candidate_links(kinds: DataFrame, agree: int = AGREE, percent: int = THRESHO
 def confirm(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between classes in the same candidate component whose whole sets are similar enough.
 
-    ``members``: class, root and the doc_id of one document that has the set. Sets are computed again from
-    those documents' texts.
+    ``docs`` has a row number and a text, ``members`` class, root and the number of one row that has the set. Sets are
+    computed again from those rows' texts.
     """
 
     @tidy
@@ -211,16 +211,32 @@ def confirm(docs: DataFrame, members: DataFrame, words: int, percent: int) -> Da
                 sets = [x.tobytes() for x in shingle_sets(batch.column(0), words)]
                 yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), _binary(sets), _binary([hashlib.blake2b(x, digest_size=16).digest() for x in sets])], names=["class", "root", "hashes", "found"])
 
-    need = members.withColumnRenamed("doc_id", "need_id")
-    texts = docs.select("doc_id", "text").join(need, F.col("doc_id") == F.col("need_id")).select("text", "class", "root")
+    texts = docs.select(F.col("row").alias("need"), "text").join(members, F.col("need") == F.col("row")).select("text", "class", "root")
     sets = texts.mapInArrow(run, "class binary, root binary, hashes binary, found binary")
-    # A doc_id that stands for several texts brings them all; the one with the class's set stays.
-    sets = cut(sets.where("found = class").drop("found").dropDuplicates(["class"]), "sets")
+    sets = cut(sets.where("found = class").drop("found"), "sets")
     rows = blocked(sets.withColumn("root", F.xxhash64("root")), "root", "class")
     rows = rows.repartition("root", "pair_a", "pair_b").sortWithinPartitions("root", "pair_a", "pair_b", "class")
     return rows.mapInArrow(lambda it: _confirmed(it, percent), _EDGE)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc): every row with a number of its own, written down so that it is the same wherever it is read."""
+    return cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "docs")
+
+
+def _linked(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(row, doc_id, n_shingles, root) of rows from ``_numbered``; root is null for texts without words."""
+    texts = rows.select(F.struct("row", "doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
+    sketch = cut(sketches(texts, words), "sketch")
+    kinds = classes(sketch.drop("doc_id"))
+    first = components(candidate_links(kinds, percent=percent))
+    first = cut(first.withColumnRenamed("node", "class"), "candidates")
+    who = sketch.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id.row").alias("row"))
+    links = components(confirm(rows.select("row", "doc.text"), first.join(who, "class"), words, percent))
+    slim = sketch.select("doc_id.row", "doc_id.doc_id", "n_shingles", "class").join(links.withColumnRenamed("node", "class"), "class", "left")
+    return slim.select("row", "doc_id", "n_shingles", F.coalesce("root", "class").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
     """Per row of (doc_id, text): doc_id, n_shingles, component_id and kept.
 
@@ -230,15 +246,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = THRESH
     comes back with other text is another member with the same id, a null doc_id never names a component
     unless all its members are null. An empty table gives no rows; other columns are not read.
     """
-    sketch = cut(sketches(docs, words), "sketch")
-    kinds = classes(sketch.drop("doc_id"))
-    first = components(candidate_links(kinds, percent=percent))
-    first = cut(first.withColumnRenamed("node", "class"), "candidates")
-    who = sketch.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    members = first.join(who, "class")
-    links = components(confirm(docs, members, words, percent))
-    slim = sketch.select("doc_id", "n_shingles", "class").join(links.withColumnRenamed("node", "class"), "class", "left")
-    slim = slim.withColumn("root", F.coalesce("root", "class"))
+    slim = _linked(_numbered(docs.select("doc_id", "text")), words, percent)
     named = slim.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     out = slim.join(named.where("n > 1").drop("n"), "root", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
@@ -249,3 +257,16 @@ def keep_one(docs: DataFrame, words: int = SHINGLE, percent: int = THRESHOLD) ->
     """``docs`` without the rows whose component another row represents; columns stay as they are."""
     gone = near_duplicates(docs.select("doc_id", "text"), words, percent).where("NOT kept").select(F.col("doc_id").alias("neardup_gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["neardup_gone_id"], "left_anti")
+
+
+def one_of_each(docs: DataFrame, words: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
+    """``docs`` with exactly one row of each component, one with its smallest doc_id; columns stay as they are.
+
+    Decided by row: a repeated row or a null doc_id goes with its component, and a row with other text stays whatever
+    its doc_id. Texts without words stay.
+    """
+    rows = _numbered(docs)
+    slim = cut(_linked(rows, words, percent).where("root IS NOT NULL"), "linked")
+    stay = slim.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("stay"), F.count("*").alias("n"))
+    gone = slim.join(stay.where("n > 1"), "root").where("row <> stay").select(F.col("row").alias("gone"))
+    return rows.join(gone, F.col("row") == F.col("gone"), "left_anti").select("doc.*")

@@ -134,6 +134,22 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark, odd, none):
+    """Repeated and null ids neither save a copy nor take another text along."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    near = lambda t: " ".join([*t.split()[:-1], "changed"])
+    rows = [(5, a), (5, a), (None, a), (7, b), (7, c), (3, near(b)), (None, d), (None, near(d)), (None, d), (1, None), (1, None), (2, "")]
+    docs = documents(spark, [(i, t, "en", "a", 1) for i, t in rows])
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert {k: n for k, n in got.items() if k[0] is not None} == {(5, a): 1, (7, c): 1, (3, near(b)): 1, (1, None): 2, (2, ""): 1}
+    assert sum(n for k, n in got.items() if k[0] is None) == 1 and {k[1] for k in got if k[0] is None} <= {d, near(d)}
+    assert neardup.one_of_each(odd).columns == odd.columns and neardup.one_of_each(odd).count() == odd.count() - 2
+    assert neardup.one_of_each(none).count() == 0
+
+
 def one_apart(a, b):
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
