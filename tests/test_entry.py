@@ -14,11 +14,13 @@ TABLES = "/root/testdata/sf0.001"
 
 
 def test_core_stands_without_the_text_operators(tmp_path):
-    """What is left after the optional parts are deleted still imports and registers its queries."""
-    shutil.copytree(ROOT / "axisframe", tmp_path / "axisframe", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'subset_query' in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q); import axisframe.cli"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    """After the two optional folders are deleted, and nothing else, what is left imports and registers its queries."""
+    top = tmp_path / "repo"
+    shutil.copytree(ROOT, top, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    shutil.rmtree(top / "axisframe" / "llm", ignore_errors=True)
+    shutil.rmtree(top / "tests" / "llm", ignore_errors=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'subset_query' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q); import axisframe.cli"
+    subprocess.run([sys.executable, "-c", code], cwd=top, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(top)})
 
 
 def test_every_sql_has_a_query():
