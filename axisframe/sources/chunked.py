@@ -2,100 +2,55 @@
 
 from __future__ import annotations
 
-import gzip
 import json
 import math
 import zlib
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cache
 from typing import Any
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators import axis, matrix
-from . import files
-from .store import SPARK_TYPES, Categories, Frame, Matrix, Store, axes_of
+from . import codecs, files, trees
+from .store import Frame, Matrix, Store
+from .trees import CHUNK, Array  # noqa: F401
 
-#: Values in one chunk that is written, and most values of an array that is read as metadata.
-CHUNK = 1 << 18
-METADATA = 1_000_000
+CODECS = (None, "gzip", "zlib", "zstd", "blosc", "lz4")
 
 
 @dataclass(frozen=True)
-class Array:
-    """What the metadata say of an array: its shape, chunks, dtype (object for text), codecs, fill and chunk names."""
+class FolderArray(Array):
+    """An array in a folder: where it is, how chunks are packed and named, whether values lie column by column, the fill."""
 
     path: str
-    shape: tuple[int, ...]
-    chunks: tuple[int, ...]
-    dtype: str
     codec: str | None
-    text: bool
     fill: Any
     prefix: str
     separator: str
+    columns_first: bool = False
+    checked: bool = False
 
-    @property
-    def kind(self) -> str:
-        return "string" if self.text else SPARK_TYPES[str(np.dtype(self.dtype).newbyteorder("="))]
-
-
-def _json(spark: SparkSession, path: str) -> dict | None:
-    return json.loads(files.read_bytes(spark, path)) if files.exists(spark, path) else None
-
-
-def node(spark: SparkSession, path: str) -> tuple[Array | None, dict]:
-    """The array at a path (None for a group) and its attributes."""
-    v3 = _json(spark, f"{path}/zarr.json")
-    if v3 is not None:
-        attributes = v3.get("attributes", {})
-        if v3["node_type"] == "group":
-            return None, attributes
-        codec, text, order = None, False, "<"
-        for c in v3["codecs"]:
-            name, how = c["name"], c.get("configuration", {})
-            if name == "bytes":
-                order = ">" if how.get("endian") == "big" else "<"
-            elif name == "vlen-utf8":
-                text = True
-            elif name in ("gzip", "zstd"):
-                codec = name
-            elif name != "crc32c":
-                raise ValueError(f"{path}: chunks in {name} are not read")
-        kind = v3["data_type"] if isinstance(v3["data_type"], str) else v3["data_type"]["name"]
-        text = text or kind in ("string", "variable_length_utf8")
-        dtype = "object" if text else np.dtype(kind).newbyteorder(order).str
-        sep = v3["chunk_key_encoding"].get("configuration", {}).get("separator", "/")
-        default = v3["chunk_key_encoding"]["name"] == "default"
-        return Array(path, tuple(v3["shape"]), tuple(v3["chunk_grid"]["configuration"]["chunk_shape"]), dtype, codec, text, v3.get("fill_value"), "c" + sep if default else "", sep), attributes
-    attributes = _json(spark, f"{path}/.zattrs") or {}
-    v2 = _json(spark, f"{path}/.zarray")
-    if v2 is None:
-        if _json(spark, f"{path}/.zgroup") is None:
-            raise FileNotFoundError(f"{path} is neither an array nor a group")
-        return None, attributes
-    codec = (v2["compressor"] or {}).get("id")
-    if codec not in (None, "gzip", "zlib", "zstd"):
-        raise ValueError(f"{path}: chunks in {codec} are not read")
-    if v2.get("order", "C") != "C":
-        raise ValueError(f"{path}: arrays by columns are not read")
-    text = any(f["id"] == "vlen-utf8" for f in v2.get("filters") or [])
-    return Array(path, tuple(v2["shape"]), tuple(v2["chunks"]), "object" if text else v2["dtype"], codec, text, v2.get("fill_value"), "", v2.get("dimension_separator", ".")), attributes
-
+    def tokens(self, first: int, last: int) -> list:
+        if not self.shape:
+            return [self.prefix.rstrip("/.") or "0"]
+        return [self.prefix + self.separator.join(map(str, np.unravel_index(k, self.grid))) for k in range(first, last)]
 
-def _unpack(data: bytes, codec: str | None) -> bytes:
-    if codec is None:
-        return data
-    if codec == "zstd":
-        import zstandard
+    def loader(self) -> Callable[[Any], np.ndarray]:
+        def load(name: str) -> np.ndarray:
+            try:
+                with files.open_input(f"{self.path}/{name}") as f:
+                    data = f.read()
+            except FileNotFoundError:
+                data = None
+            return decoded(self, data)
 
-        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
-    return gzip.decompress(data) if codec == "gzip" else zlib.decompress(data)
+        return load
 
 
-def _texts(data: bytes) -> list[str]:
+def texts(data: bytes) -> list[str]:
+    """Texts with their lengths before them."""
     n, at, out = int.from_bytes(data[:4], "little"), 4, []
     for _ in range(n):
         size = int.from_bytes(data[at : at + 4], "little")
@@ -104,282 +59,207 @@ def _texts(data: bytes) -> list[str]:
     return out
 
 
-def _decoded(a: Array, data: bytes | None, count: int) -> np.ndarray | list[str]:
-    """Values of a chunk; an absent one is all fill."""
-    if a.text:
-        return [str(a.fill or "")] * count if data is None else _texts(_unpack(data, a.codec))
+def decoded(a: FolderArray, data: bytes | None) -> np.ndarray:
+    """A chunk in its full shape; an absent one is all fill."""
+    count = math.prod(a.chunks)
     if data is None:
-        fill = {"NaN": np.nan, "Infinity": np.inf, "-Infinity": -np.inf}.get(a.fill, a.fill) if isinstance(a.fill, str) else a.fill
-        return np.full(count, fill or 0, a.dtype)
-    return np.frombuffer(_unpack(data, a.codec), a.dtype)
+        fill = {"NaN": np.nan, "Infinity": np.inf, "-Infinity": -np.inf}.get(a.fill, a.fill) if isinstance(a.fill, str) and not a.text else a.fill
+        return np.full(a.chunks, (fill or "") if a.text else (fill or 0), object if a.text else a.dtype)
+    data = codecs.unpack(data[:-4] if a.checked else data, a.codec)
+    if a.text:
+        x = np.full(count, "", object)
+        got = texts(data)
+        x[: len(got)] = got
+    else:
+        x = np.frombuffer(data, a.dtype)
+    # A text chunk at an edge may be shorter than a whole one.
+    return x.reshape(a.chunks, order="F" if a.columns_first else "C")
+
+
+def _version_3(path: str, meta: dict) -> FolderArray:
+    codec, text, order, checked = None, False, "<", False
+    for c in meta["codecs"]:
+        name, how = c["name"], c.get("configuration", {})
+        if name == "bytes":
+            order = ">" if how.get("endian") == "big" else "<"
+        elif name == "vlen-utf8":
+            text = True
+        elif name in CODECS:
+            codec = name
+        elif name == "crc32c":
+            checked = True
+        else:
+            raise ValueError(f"{path}: chunks in {name} are not read")
+    kind = meta["data_type"] if isinstance(meta["data_type"], str) else meta["data_type"]["name"]
+    text = text or kind in ("string", "variable_length_utf8")
+    dtype = "object" if text else np.dtype(kind).newbyteorder(order).str
+    names = meta["chunk_key_encoding"]
+    separator = names.get("configuration", {}).get("separator", "/" if names["name"] == "default" else ".")
+    prefix = "c" + separator if names["name"] == "default" else ""
+    return FolderArray(tuple(meta["shape"]), tuple(meta["chunk_grid"]["configuration"]["chunk_shape"]), dtype, text, path, codec, meta.get("fill_value"), prefix, separator, False, checked)
+
+
+def _version_2(path: str, meta: dict) -> FolderArray:
+    codec = (meta["compressor"] or {}).get("id")
+    if codec not in CODECS:
+        raise ValueError(f"{path}: chunks in {codec} are not read")
+    text = any(f["id"] == "vlen-utf8" for f in meta.get("filters") or [])
+    if not text and meta["dtype"] == "|O":
+        raise ValueError(f"{path}: objects are not read")
+    return FolderArray(tuple(meta["shape"]), tuple(meta["chunks"]), "object" if text else meta["dtype"], text, path, codec, meta.get("fill_value"), "", meta.get("dimension_separator", "."), meta.get("order", "C") == "F")
 
 
-def _arrow(a: Array, values) -> pa.Array:
-    if a.text:
-        return pa.array(values, pa.string())
-    x = values.astype(values.dtype.newbyteorder("="))
-    if x.dtype == np.uint64:
-        return pa.array(x.tolist(), pa.uint64()).cast(pa.decimal128(20, 0))
-    wider = {"uint8": np.int16, "uint16": np.int32, "uint32": np.int64, "float16": np.float32}.get(str(x.dtype))
-    return pa.array(x.astype(wider) if wider else x)
-
-
-def values(spark: SparkSession, a: Array) -> DataFrame:
-    """(pos, v) of an array in its own order, a task per run of chunk files. Chunks that are absent come as fill."""
-    grid = [math.ceil(s / c) for s, c in zip(a.shape, a.chunks, strict=True)]
-    every = spark.range(math.prod(grid)).withColumnRenamed("id", "chunk")
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(a.path) if math.prod(grid) else None
-    if listed is None:
-        return spark.createDataFrame([], f"pos long, v {a.kind}")
-    sep, n = a.separator, len(a.shape)
-    key = F.regexp_extract("path", (r"/" + a.prefix.replace("/", "/").replace(".", r"\.") + r"([0-9]+(?:" + sep.replace(".", r"\.") + r"[0-9]+){" + str(n - 1) + r"})$"), 1)
-    step = F.split(key, sep.replace(".", r"\."))
-    flat = F.lit(0).cast("long")
-    for k in range(n):
-        flat = flat * grid[k] + F.get(step, F.lit(k)).cast("long")
-    have = listed.where(key != "").select(flat.alias("chunk"), "content")
-
-    def run(batches):
-        for batch in batches:
-            for c, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                place = np.unravel_index(c, grid)
-                x = _decoded(a, data.as_py(), math.prod(a.chunks))
-                sides = [np.arange(p * w, p * w + w) for p, w in zip(place, a.chunks, strict=True)]
-                inside = [s < m for s, m in zip(sides, a.shape, strict=True)]
-                mesh = np.meshgrid(*[s[i] for s, i in zip(sides, inside, strict=True)], indexing="ij")
-                pos = np.ravel_multi_index([m.ravel() for m in mesh], a.shape)
-                # Text chunks at an edge may be shorter than a whole chunk.
-                if a.text and len(x) != math.prod(a.chunks):
-                    kept = x
-                else:
-                    keep = np.ravel_multi_index([m.ravel() for m in np.meshgrid(*[np.flatnonzero(i) for i in inside], indexing="ij")], a.chunks)
-                    kept = [x[k] for k in keep] if a.text else x[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(pos.astype(np.int64)), _arrow(a, kept)], names=["pos", "v"])
-
-    return every.join(have, "chunk", "left").mapInArrow(run, f"pos long, v {a.kind}")
-
-
-def _small(spark: SparkSession, path: str) -> Any:
-    """An array or scalar as plain values, for metadata."""
-    a, _ = node(spark, path)
-    if math.prod(a.shape) > METADATA:
-        raise ValueError(f"{path} holds more than {METADATA} values")
-    if not a.shape:
-        name = next((n for n in ("c", "0") if files.exists(spark, f"{a.path}/{n}")), None)
-        x = _decoded(a, files.read_bytes(spark, f"{a.path}/{name}") if name else None, 1)
-        return x[0] if a.text else x[0].item()
-    flat = [r.v for r in values(spark, a).orderBy("pos").collect()]
-    return np.array(flat, object).reshape(a.shape).tolist()
-
-
-def _column(spark: SparkSession, path: str) -> tuple[DataFrame, Categories | None, bool]:
-    """(pos, v) of a column: plain, categorical (codes and categories) or nullable (values and mask)."""
-    a, attributes = node(spark, path)
-    if a is not None:
-        return values(spark, a), None, False
-    kind = attributes.get("encoding-type", "")
-    if kind == "categorical":
-        labels = _small(spark, f"{path}/categories")
-        codes = values(spark, node(spark, f"{path}/codes")[0])
-        return codes.select("pos", axis.labels_of(F.col("v"), labels).alias("v")), Categories(tuple(labels), bool(attributes.get("ordered"))), False
-    if kind.startswith("nullable"):
-        x, m = values(spark, node(spark, f"{path}/values")[0]), values(spark, node(spark, f"{path}/mask")[0])
-        return x.join(m.withColumnRenamed("v", "gone"), "pos").select("pos", F.when(~F.col("gone"), F.col("v")).alias("v")), None, True
-    raise ValueError(f"{path}: a column of kind {kind!r} is not read")
+class FolderTree(trees.Tree):
+    """A folder as a tree; metadata are read once."""
 
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._node = cache(self._read)
 
-def frame(spark: SparkSession, path: str) -> Frame:
-    """A group of columns as an axis frame, joined by position."""
-    _, attributes = node(spark, path)
-    names, _, _ = _column(spark, f"{path}/{attributes.get('_index', '_index')}")
-    data = names.select("pos", F.coalesce(F.col("v").cast("string"), F.lit("")).alias("name"))
-    categories = {}
-    for c in attributes.get("column-order", []):
-        v, k, nullable = _column(spark, f"{path}/{c}")
-        data = data.join(v.select("pos", F.col("v").alias(c, metadata={"nullable": True} if nullable else {})), "pos", "left")
-        if k is not None:
-            categories[c] = k
-    return Frame(data, categories)
+    def _json(self, path: str) -> dict | None:
+        return json.loads(files.read_bytes(self.spark, path)) if files.exists(self.spark, path) else None
 
+    def _read(self, path: str) -> tuple[FolderArray | None, dict] | None:
+        at = f"{self.path}/{path}".rstrip("/")
+        v3 = self._json(f"{at}/zarr.json")
+        if v3 is not None:
+            return (None if v3["node_type"] == "group" else _version_3(at, v3)), v3.get("attributes", {})
+        v2 = self._json(f"{at}/.zarray")
+        if v2 is None and not files.exists(self.spark, f"{at}/.zgroup"):
+            return None
+        return (_version_2(at, v2) if v2 is not None else None), self._json(f"{at}/.zattrs") or {}
 
-def array_matrix(spark: SparkSession, path: str) -> Matrix:
-    """A dense array or a compressed sparse group as a matrix."""
-    a, attributes = node(spark, path)
-    if a is not None:
-        width = math.prod(a.shape[1:])
-        rows = values(spark, a).groupBy(F.floor(F.col("pos") / max(1, width)).alias("i")).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("x"))
-        return Matrix(rows.select("i", F.transform("x", lambda p: p["v"]).alias("values")), a.shape, str(np.dtype(a.dtype).newbyteorder("=")), "dense")
-    kind = attributes.get("encoding-type")
-    if kind not in ("csr_matrix", "csc_matrix"):
-        raise ValueError(f"{path}: a matrix of kind {kind!r} is not read")
-    data, indices, starts = (node(spark, f"{path}/{n}")[0] for n in ("data", "indices", "indptr"))
-    if data.shape != indices.shape:
-        raise ValueError(f"{path}: {data.shape[0]} values but {indices.shape[0]} indices")
-    p = values(spark, starts).select(F.col("pos").alias("major"), F.col("v").cast("long").alias("a"))
-    ends = p.select((F.col("major") - 1).alias("major"), F.col("a").alias("b"))
-    runs = p.join(ends, "major").where("b > a").select("major", F.explode(F.sequence("a", F.col("b") - 1)).alias("pos"))
-    entries = runs.join(values(spark, indices).select("pos", F.col("v").cast("long").alias("minor")), "pos").join(values(spark, data), "pos")
-    shape = tuple(attributes["shape"])
-    i, j = ("major", "minor") if kind == "csr_matrix" else ("minor", "major")
-    out = Matrix(entries.select(F.col(i).alias("i"), F.col(j).alias("j"), "v"), shape, str(np.dtype(data.dtype).newbyteorder("=")), kind[:3])
-    matrix.check_entries(out.data, shape, path)
-    return out
+    def exists(self, path: str) -> bool:
+        return self._node(path) is not None
+
+    def _need(self, path: str) -> tuple[FolderArray | None, dict]:
+        found = self._node(path)
+        if found is None:
+            raise FileNotFoundError(f"{self.path}/{path} is neither an array nor a group")
+        return found
+
+    def names(self, path: str) -> list[str]:
+        at = f"{self.path}/{path}".rstrip("/")
+        return [n for n in files.names(self.spark, at) if not n.startswith(".") and n != "zarr.json"]
 
+    def attributes(self, path: str) -> dict:
+        return self._need(path)[1]
 
-def _metadata(spark: SparkSession, path: str) -> Any:
-    a, attributes = node(spark, path)
-    if a is not None:
-        return _small(spark, path)
-    return {n: _metadata(spark, f"{path}/{n}") for n in files.names(spark, path) if not n.startswith(".") and n != "zarr.json"}
+    def array(self, path: str) -> FolderArray | None:
+        return self._need(path)[0]
 
 
 def read(spark: SparkSession, path: str) -> Store:
     """A folder of chunked arrays laid out as an annotated matrix; only metadata are read until the store is used."""
-    node(spark, path)
-    have = lambda p: files.exists(spark, f"{path}/{p}")
-    found: dict[str, Matrix] = {}
-    frames: dict[str, Frame] = {}
-    if have("X"):
-        found["X"] = array_matrix(spark, f"{path}/X")
-    for group in ("layers", "obsm", "varm", "obsp", "varp"):
-        for name in files.names(spark, f"{path}/{group}"):
-            if name.startswith(".") or name == "zarr.json":
-                continue
-            a, attributes = node(spark, f"{path}/{group}/{name}")
-            if a is None and attributes.get("encoding-type") == "dataframe":
-                frames[f"{group}/{name}"] = frame(spark, f"{path}/{group}/{name}")
-            else:
-                found[f"{group}/{name}"] = array_matrix(spark, f"{path}/{group}/{name}")
-    uns = _metadata(spark, f"{path}/uns") if have("uns") else {}
-    obs = frame(spark, f"{path}/obs")
-    raw = Store(obs, frame(spark, f"{path}/raw/var"), {"X": array_matrix(spark, f"{path}/raw/X")}) if have("raw/X") else None
-    return Store(obs, frame(spark, f"{path}/var"), found, frames, uns, raw)
-
-
-class _Writer:
-    """Writes version 2 groups and arrays, one chunk of an array in memory at a time."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    tree = FolderTree(spark, path)
+    tree.attributes("")
+    return trees.read_store(tree)
+
+
+def frame(spark: SparkSession, path: str) -> Frame:
+    return trees.frame(FolderTree(spark, path), "")
+
+
+def array_matrix(spark: SparkSession, path: str) -> Matrix:
+    return trees.array_matrix(FolderTree(spark, path), "")
+
+
+def _json_value(value: Any) -> Any:
+    return value.tolist() if isinstance(value, np.ndarray | np.generic) else value
+
+
+def _pack(data: bytes, version: int) -> bytes:
+    if version == 2:
+        return zlib.compress(data, 1)
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _chunk_bytes(values, dtype: str | None, step: int) -> bytes:
+    if dtype is None:
+        parts = [x.encode() for x in values] + [b""] * (step - len(values))
+        return len(parts).to_bytes(4, "little") + b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+    if len(values) == step:
+        return np.ascontiguousarray(values).tobytes()
+    x = np.zeros((step, *values.shape[1:]), dtype)
+    x[: len(values)] = values
+    return x.tobytes()
+
+
+class FolderSink(trees.Sink):
+    """Writes groups and arrays of either version; tasks write the chunk files."""
+
+    def __init__(self, spark: SparkSession, root: str, version: int = 2):
+        self.spark, self.root, self.version = spark, root, version
 
     def put(self, path: str, data: bytes) -> None:
         files.write_bytes(self.spark, f"{self.root}/{path}", data)
 
     def group(self, path: str, **attributes) -> None:
         at = f"{path}/" if path else ""
+        attributes = {k: _json_value(v) for k, v in attributes.items()}
+        if self.version == 3:
+            self.put(f"{at}zarr.json", json.dumps({"zarr_format": 3, "node_type": "group", "attributes": attributes}).encode())
+            return
         self.put(f"{at}.zgroup", b'{"zarr_format": 2}')
         self.put(f"{at}.zattrs", json.dumps(attributes).encode())
 
-    def array(self, path: str, rows, shape: tuple[int, ...], dtype: str | None, **attributes) -> None:
-        """``rows`` yields values (or rows of values) in order; None as a dtype writes text."""
-        width = max(1, math.prod(shape[1:]))
-        step = max(1, min(shape[0] if shape else 1, CHUNK // width))
+    def head(self, path: str, shape: tuple[int, ...], step: int, dtype: str | None, attributes: dict) -> None:
+        """The metadata of an array whose chunks hold ``step`` rows."""
+        chunks = [step, *shape[1:]] if shape else []
+        attributes = {k: _json_value(v) for k, v in attributes.items()}
+        if self.version == 3:
+            kind = "string" if dtype is None else np.dtype(dtype).name
+            first = {"name": "vlen-utf8"} if dtype is None else {"name": "bytes", "configuration": {"endian": "little"}}
+            meta = {
+                "zarr_format": 3, "node_type": "array", "shape": list(shape), "data_type": kind, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": [max(1, c) for c in chunks]}},
+                "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": "" if dtype is None else False if kind == "bool" else 0,
+                "codecs": [first, {"name": "zstd", "configuration": {"level": 1, "checksum": False}}], "attributes": attributes, "storage_transformers": [],
+            }
+            self.put(f"{path}/zarr.json", json.dumps(meta).encode())
+            return
         filters = [{"id": "vlen-utf8"}] if dtype is None else None
-        meta = {"zarr_format": 2, "shape": list(shape), "chunks": [step, *shape[1:]] if shape else [], "dtype": "|O" if dtype is None else np.dtype(dtype).str, "compressor": {"id": "zlib", "level": 1}, "fill_value": "" if dtype is None else 0, "order": "C", "filters": filters}
+        meta = {"zarr_format": 2, "shape": list(shape), "chunks": chunks, "dtype": "|O" if dtype is None else np.dtype(dtype).str, "compressor": {"id": "zlib", "level": 1}, "fill_value": "" if dtype is None else 0, "order": "C", "filters": filters}
         self.put(f"{path}/.zarray", json.dumps(meta).encode())
         self.put(f"{path}/.zattrs", json.dumps(attributes).encode())
-        tail = [0] * max(0, len(shape) - 1)
-        held, k = [], 0
-        for v in rows:
-            held.append(v)
-            if len(held) == step:
-                self.chunk(path, [k, *tail] if shape else [0], held, dtype, step, width)
-                held, k = [], k + 1
-        if held:
-            self.chunk(path, [k, *tail], held, dtype, step, width)
-
-    def chunk(self, path: str, place: list[int], held: list, dtype: str | None, step: int, width: int) -> None:
-        if dtype is None:
-            parts = [(x or "").encode() for x in held] + [b""] * (step - len(held))
-            data = len(parts).to_bytes(4, "little") + b"".join(len(p).to_bytes(4, "little") + p for p in parts)
-        else:
-            x = np.zeros((step, width), dtype)
-            x[: len(held)] = np.array(held, dtype).reshape(len(held), width)
-            data = x.tobytes()
-        self.put(f"{path}/{'.'.join(map(str, place))}", zlib.compress(data, 1))
-
-    def column(self, path: str, data: DataFrame, name: str, n: int, categories: Categories | None) -> None:
-        kind = dict(data.dtypes)[name]
-        c = F.col(f"`{name}`")
-        ordered = lambda e: (r[0] for r in data.orderBy("pos").select(e).toLocalIterator())
-        if categories is not None:
-            self.group(path, **{"encoding-type": "categorical", "encoding-version": "0.2.0", "ordered": categories.ordered})
-            self.array(f"{path}/codes", ordered(axis.codes(c, categories.labels)), (n,), axis.code_dtype(len(categories.labels)))
-            text = not categories.labels or isinstance(categories.labels[0], str)
-            self.array(f"{path}/categories", iter(categories.labels), (len(categories.labels),), None if text else np.asarray(categories.labels).dtype.str)
-            return
-        dtypes = {"boolean": "bool", "tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "float": "float32", "double": "float64"}
-        if kind != "string" and kind not in dtypes:
-            raise ValueError(f"{path}: a column of type {kind} cannot be written")
-        gone = kind not in ("float", "double") and not data.where(c.isNull()).isEmpty()
-        dtype = None if kind == "string" else dtypes[kind]
-        if gone:
-            which = {"string": "string-array", "boolean": "boolean"}.get(kind, "integer")
-            self.group(path, **{"encoding-type": f"nullable-{which}", "encoding-version": "0.1.0"})
-            fill = F.lit("") if kind == "string" else F.lit(False) if kind == "boolean" else F.lit(0).cast(kind)
-            self.array(f"{path}/values", ordered(F.coalesce(c, fill)), (n,), dtype)
-            self.array(f"{path}/mask", ordered(c.isNull()), (n,), "bool")
-        else:
-            self.array(path, ordered(F.coalesce(c, F.lit(float("nan"))) if kind in ("float", "double") else c), (n,), dtype, **{"encoding-type": "string-array" if dtype is None else "array", "encoding-version": "0.2.0"})
-
-    def frame(self, path: str, f: Frame) -> None:
-        n = f.data.count()
-        self.group(path, **{"encoding-type": "dataframe", "encoding-version": "0.2.0", "_index": "_index", "column-order": f.columns})
-        self.column(f"{path}/_index", f.data, "name", n, None)
-        for c in f.columns:
-            self.column(f"{path}/{c}", f.data, c, n, f.categories.get(c))
-
-    def matrix(self, path: str, m: Matrix) -> None:
-        if not m.sparse:
-            self.array(path, (r[0] for r in m.data.orderBy("i").select("values").toLocalIterator()), m.shape, m.dtype, **{"encoding-type": "array", "encoding-version": "0.2.0"})
-            return
-        major, minor = ("i", "j") if m.layout == "csr" else ("j", "i")
-        n = m.data.count()
-        self.group(path, **{"encoding-type": f"{m.layout}_matrix", "encoding-version": "0.1.0", "shape": list(m.shape)})
-        rows = m.data.orderBy(major, minor)
-        index = matrix.index_dtype(max(n, *m.shape))
-        self.array(f"{path}/data", (r[0] for r in rows.select("v").toLocalIterator()), (n,), m.dtype)
-        self.array(f"{path}/indices", (r[0] for r in rows.select(minor).toLocalIterator()), (n,), index)
-        starts = matrix.pointers(m, major).orderBy("pos").select("start")
-
-        def pointers():
-            yield from (r[0] for r in starts.toLocalIterator())
-            yield n
-
-        self.array(f"{path}/indptr", pointers(), (m.shape[0 if major == "i" else 1] + 1,), index)
-
-    def metadata(self, path: str, value: Any) -> None:
-        if isinstance(value, dict):
-            self.group(path, **{"encoding-type": "dict", "encoding-version": "0.1.0"})
-            for k, v in value.items():
-                self.metadata(f"{path}/{k}", v)
-        elif value is not None:
-            x = np.array(value)
-            text = x.dtype.kind in "UO"
-            rows = [x[()]] if not x.shape else x.tolist()
-            if text and x.ndim > 1:
-                raise ValueError(f"{path}: text of more than one dimension cannot be written")
-            kind = ("string" if text else "numeric-scalar") if not x.shape else "string-array" if text else "array"
-            self.array(path, iter(map(str, rows) if text else rows), x.shape, None if text else x.dtype.str, **{"encoding-type": kind, "encoding-version": "0.2.0"})
-
-
-def write(store: Store, path: str, replace: bool = False) -> None:
-    """A store as a version 2 folder. Values stream through the driver in order, a chunk at a time."""
-    spark = store.spark
-    with files.staged(spark, path, replace) as new:
-        w = _Writer(spark, new)
-        w.group("")
-        for name, f in (("obs", store.obs), ("var", store.var)):
-            w.frame(name, f)
-        for group in dict.fromkeys(p.split("/")[0] for p in (*store.matrices, *store.frames) if "/" in p):
-            w.group(group)
-        for p, m in store.matrices.items():
-            axes_of(p)
-            w.matrix(p, m)
-        for p, f in store.frames.items():
-            w.frame(p, f)
-        w.metadata("uns", store.uns)
-        if store.raw is not None:
-            w.group("raw")
-            w.frame("raw/var", store.raw.var)
-            w.matrix("raw/X", store.raw.matrices["X"])
+
+    def _name(self, k: int, rank: int) -> str:
+        place = [str(k), *["0"] * (rank - 1)]
+        return "c/" + "/".join(place) if self.version == 3 else ".".join(place)
+
+    def small(self, path: str, values: np.ndarray, **attributes) -> None:
+        dtype = None if values.dtype == object else values.dtype.str
+        step = max(1, values.shape[0]) if values.shape else 1
+        self.head(path, values.shape, step, dtype, attributes)
+        if values.size:
+            flat = [str(x) for x in values.ravel().tolist()] if dtype is None else values.reshape(step, *values.shape[1:])
+            name = self._name(0, values.ndim) if values.shape else "c" if self.version == 3 else "0"
+            self.put(f"{path}/{name}", _pack(_chunk_bytes(flat, dtype, step), self.version))
+
+    def large(self, paths: Sequence[str], rows: DataFrame, columns: Sequence[str], shapes: Sequence[tuple[int, ...]], dtypes: Sequence[str | None], attributes: Sequence[dict]) -> None:
+        step = trees.chunk_rows(max(shapes, key=lambda s: math.prod(s[1:])))
+        for p, s, d, x in zip(paths, shapes, dtypes, attributes, strict=True):
+            self.head(p, s, step, d, x)
+        root, version, names = self.root, self.version, [(p, len(s)) for p, s in zip(paths, shapes, strict=True)]
+        dtypes = list(dtypes)
+
+        def encode(k: int, chunk: int, values) -> bytes:
+            path, rank = names[k]
+            place = [str(chunk), *["0"] * (rank - 1)]
+            at = "c/" + "/".join(place) if version == 3 else ".".join(place)
+            data = _pack(_chunk_bytes(values, dtypes[k], step), version)
+            # A task that is run again writes the same bytes to the same place.
+            with files.open_output(f"{root}/{path}/{at}") as f:
+                f.write(data)
+            return b""
+
+        trees.encoded(rows, columns, shapes, dtypes, encode).write.format("noop").mode("overwrite").save()
+
+
+def write(store: Store, path: str, replace: bool = False, version: int = 2) -> None:
+    """A store as a folder of version 2 or 3; tasks write the chunks."""
+    if version not in (2, 3):
+        raise ValueError("versions are 2 and 3")
+    with files.staged(store.spark, path, replace) as new:
+        trees.write_store(FolderSink(store.spark, new, version), store)

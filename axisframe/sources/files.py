@@ -2,13 +2,77 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the workers, once a session: those on other machines do not have it."""
+    context = spark.sparkContext
+    if getattr(context, "_axisframe_core", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(str(f.relative_to(top.parent))), f.read_bytes())
+    at = Path(tempfile.mkdtemp(prefix="axisframe-")) / f"axisframe-core-{hashlib.sha1(packed.getvalue()).hexdigest()[:12]}.zip"
+    at.write_bytes(packed.getvalue())
+    context.addPyFile(str(at))
+    context._axisframe_core = True
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); on one machine, where the session
+    names none, in a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="axisframe-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _local(path: str) -> str | None:
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return path
+    return "/" + rest.lstrip("/") if scheme == "file" else None
+
+
+def open_input(path: str):
+    """A file to seek in and read from, in any process: on a disk that all have, or in a store that Arrow reaches."""
+    local = _local(path)
+    if local is not None:
+        return open(local, "rb")
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path)
+    return system.open_input_file(at)
+
+
+def open_output(path: str):
+    """A new file to write to, in any process; folders above it are made."""
+    local = _local(path)
+    if local is not None:
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        return open(local, "wb")
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path)
+    return system.open_output_stream(at)
+
+
 def _at(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
