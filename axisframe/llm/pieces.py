@@ -6,8 +6,10 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ SPACE = "▁"
 #: Segments whose encoding a worker remembers in each of two generations, and their longest length in characters.
 REMEMBERED = 350_000
 REMEMBERED_LENGTH = 48
+#: The mark of a segment's first id in a worker's memory; ids are smaller.
+_FIRST = 1 << 30
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -108,6 +112,11 @@ class Model:
         self.ident = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == _NORMAL}
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == _BYTE}
         self.unknown = self.kinds.index(_UNKNOWN)
+        self.written = [str(i) for i in range(len(self.pieces))]
+        self.raw = {i: b for b, i in self.byte.items()}
+        self.bytewise = np.array([self.raw.get(i, 0) > 0x7F for i in range(len(self.kinds))])
+        #: What each id reads as: nothing for controls, None for a byte that is part of a longer character.
+        self.surface = [chr(self.raw[i]) if self.raw.get(i, 255) < 0x80 else None if k == _BYTE else "" if k == _CONTROL else " ⁇ " if k == _UNKNOWN else p.replace(SPACE, " ") for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True))]
         joined = {c for p in self.ident if len(p) > 1 for c in p}
         lone = "".join(c for c in "\n\r\t" if c not in joined)
         #: Runs of space signs with what follows; controls that no longer piece holds stand by themselves.
@@ -191,26 +200,40 @@ class Model:
     def segments(self, normal: str) -> list[str]:
         return self.pattern.findall(normal) if self.by_segment else [normal] if normal else []
 
-    def ids(self, pieces: list[str]) -> tuple[list[int], list[int]]:
-        """Ids of pieces, those outside the vocabulary as bytes (or unknown), and the characters that each id covers
-        (0 for all but the last byte of a character)."""
-        out, covers = [], []
-        for p in pieces:
+    def encode(self, text: str) -> list[int]:
+        return [i for s in self.segments(self.normalise(text)[0]) for i in self.covered(s)[::3]]
+
+    def begins(self, text: str, begins: list[int] | None) -> np.ndarray:
+        """The original byte at which each normalised character begins, the end of the text last; ``begins`` is what
+        ``normalise`` says, None if characters stay as they are."""
+        if begins is not None:
+            return np.array(begins, np.int64)
+        shift = int(self.dummy and bool(text))
+        out = np.zeros(shift + len(text) + 1, np.int64)
+        if text.isascii():
+            out[shift:] = np.arange(len(text) + 1)
+        else:
+            code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            np.cumsum(1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF), out=out[shift + 1 :])
+        return out
+
+    def covered(self, segment: str) -> list[int]:
+        """(id, begin, end), one after the other, of a normalised segment's pieces, in its characters. The bytes of a
+        character outside the vocabulary share its place."""
+        out: list[int] = []
+        at = 0
+        for p in self.cut(segment):
+            end = at + len(p)
             i = self.ident.get(p)
             if i is not None:
-                out.append(i)
-                covers.append(len(p))
+                out += (i, at, end)
             elif self.byte:
-                raw = p.encode("utf-8")
-                out += [self.byte[b] for b in raw]
-                covers += [0] * (len(raw) - 1) + [len(p)]
+                for b in p.encode("utf-8"):
+                    out += (self.byte[b], at, end)
             else:
-                out.append(self.unknown)
-                covers.append(len(p))
-        return out, covers
-
-    def encode(self, text: str) -> list[int]:
-        return [i for s in self.segments(self.normalise(text)[0]) for i in self.ids(self.cut(s))[0]]
+                out += (self.unknown, at, end)
+            at = end
+        return out
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(id, begin, end) of every piece, in bytes of the original text in UTF-8.
@@ -218,68 +241,56 @@ class Model:
         The bytes of a character outside the vocabulary share its span. The space put before a text spans nothing.
         """
         normal, begins = self.normalise(text)
-        if begins is None:
-            shift = int(self.dummy and bool(text))
-            begins = [0] * shift
-            at = 0
-            for c in text:
-                begins.append(at)
-                at += len(c.encode("utf-8"))
-            begins.append(at)
+        begins = self.begins(text, begins)
         out, at = [], 0
         for s in self.segments(normal):
-            ids, covers = self.ids(self.cut(s))
-            k = 0
-            while k < len(ids):
-                run = k
-                while not covers[run]:
-                    run += 1
-                a, b = begins[at], begins[at + covers[run]]
-                out += [(i, a, b) for i in ids[k : run + 1]]
-                at += covers[run]
-                k = run + 1
+            rows = np.array(self.covered(s)).reshape(-1, 3)
+            out += zip(rows[:, 0].tolist(), begins[rows[:, 1] + at].tolist(), begins[rows[:, 2] + at].tolist(), strict=True)
+            at += len(s)
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD each, the space put before the text goes."""
-        out, raw = [], bytearray()
-
-        def flush():
-            at = 0
-            while at < len(raw):
-                n = 1
-                for n in (4, 3, 2, 1):
-                    try:
-                        c = bytes(raw[at : at + n]).decode("utf-8")
-                        if len(c) == 1:
-                            break
-                    except UnicodeDecodeError:
-                        c = "�"
-                out.append(c)
-                at += n if c != "�" else 1
-            raw.clear()
-
-        first = True
-        for i in ids:
-            kind = self.kinds[i]
-            if kind == _BYTE:
-                raw.append(int(self.pieces[i][3:5], 16))
-                first = False
-                continue
-            flush()
-            if kind == _CONTROL:
+        out = [*map(self.surface.__getitem__, ids)]
+        for k, i in enumerate(ids):
+            if self.kinds[i] == _CONTROL:
                 continue
-            p = " ⁇ " if kind == _UNKNOWN else self.pieces[i]
-            if first and (self.dummy or self.trim) and p.startswith(SPACE):
-                p = p[1:]
-                first = self.trim and not p
-            else:
-                first = False
-            out.append(p.replace(SPACE, " "))
-        flush()
+            if (self.dummy or self.trim) and self.kinds[i] == _NORMAL and out[k].startswith(" "):
+                out[k] = out[k][1:]
+                if self.trim and not out[k]:
+                    continue
+            break
+        if None in out:
+            at = np.flatnonzero(self.bytewise[np.asarray(ids)])
+            for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                a, b = int(run[0]), int(run[-1]) + 1
+                out[a] = _utf8(bytes([self.raw[i] for i in ids[a:b]]))
+                out[a + 1 : b] = [""] * (b - a - 1)
         return "".join(out)
 
 
+def _utf8(raw: bytes) -> str:
+    """The characters of bytes; each byte that is no part of one becomes U+FFFD."""
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        pass
+    out, at = [], 0
+    while at < len(raw):
+        for n in (4, 3, 2, 1):
+            try:
+                c = raw[at : at + n].decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            if len(c) == 1:
+                break
+        else:
+            c, n = "\ufffd", 1
+        out.append(c)
+        at += n
+    return "".join(out)
+
+
 _models: dict[bytes, tuple[Model, tuple[dict, dict]]] = {}
 
 
@@ -291,39 +302,20 @@ def _model(data: bytes) -> tuple[Model, tuple[dict, dict]]:
 
 
 class _Coder:
-    """Encodes whole texts through a bounded memory of segments."""
+    """Encodes whole texts through a bounded memory of segments: what ``Model.covered`` gives, the first id marked."""
 
     def __init__(self, data: bytes):
         self.model, (self.known, self.older) = _model(data)
-        #: Segments whose pieces do not read as the segment itself.
-        self.odd: dict[str, str] = {}
 
     def _segment(self, s: str) -> bytes:
-        ids, _ = self.model.ids(self.model.cut(s))
-        # With pieces for all bytes, ids always stand for the segment's own characters.
-        if self.model.unknown in ids and (surface := self._surface(ids)) != s.replace(SPACE, " "):
-            self.odd[s] = surface
-        return ",".join(map(str, ids)).encode()
-
-    def _surface(self, ids: list[int]) -> str:
-        m = self.model
-        out, raw = [], bytearray()
-        for i in ids:
-            if m.kinds[i] == _BYTE:
-                raw.append(int(m.pieces[i][3:5], 16))
-                continue
-            if raw:
-                out.append(raw.decode("utf-8"))
-                raw.clear()
-            out.append(" ⁇ " if i == m.unknown else m.pieces[i].replace(SPACE, " "))
-        if raw:
-            out.append(raw.decode("utf-8"))
-        return "".join(out)
+        rows = self.model.covered(s)
+        rows[0] |= _FIRST
+        return array("i", rows).tobytes()
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """(ids, SHA-256 of the ids, SHA-256 of the decoded text)."""
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids, and (begin, end) of every piece in bytes of the original text."""
         m, known = self.model, self.known
-        normal = m.normalise(text)[0]
+        normal, begins = m.normalise(text)
         segments = m.segments(normal)
         found = [*map(known.get, segments)]
         if None in found:
@@ -339,11 +331,20 @@ class _Coder:
                 self.older.update(known)
                 known.clear()
             known.update((s, x) for s, x in fresh.items() if len(s) <= REMEMBERED_LENGTH)
-        ids = b",".join(found)
-        decoded = "".join([self.odd.get(s) or s.replace(SPACE, " ") for s in segments]) if self.odd else normal.replace(SPACE, " ")
-        if m.dummy and decoded.startswith(" "):
-            decoded = decoded[1:]
-        return ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
+        rows = np.frombuffer(b"".join(found), np.int32).reshape(-1, 3)
+        first = np.flatnonzero(rows[:, 0] & _FIRST)
+        last = np.append(first[1:], len(rows)) - 1 if len(rows) else first
+        length = rows[last, 2].astype(np.int64)
+        at = np.repeat(np.cumsum(length) - length, last - first + 1)
+        place = m.begins(text, begins)
+        return rows[:, 0] & (_FIRST - 1), place[rows[:, 1:] + at[:, None]]
+
+    def digest(self, text: str) -> tuple[int, str, str, str]:
+        """(ids, SHA-256 of the ids, of what they decode to, and of the spans as pairs of 64-bit numbers)."""
+        ids, spans = self.encode(text)
+        ids = ids.tolist()
+        written = ",".join(map(self.model.written.__getitem__, ids))
+        return len(ids), *(hashlib.sha256(x).hexdigest() for x in (written.encode(), self.model.decode(ids).encode("utf-8"), np.ascontiguousarray(spans, "<i8")))
 
 
 def model_bytes(path: str) -> bytes:
@@ -352,11 +353,12 @@ def model_bytes(path: str) -> bytes:
 
 
 def token_digests(docs: DataFrame, model_path: str, ident: str = "doc_id") -> DataFrame:
-    """Per row: ``ident``, n_tokens, ids_sha256 and decoded_sha256 of the whole text (null counts as empty).
+    """Per row: ``ident``, n_tokens, ids_sha256, decoded_sha256 and spans_sha256 of the whole text.
 
-    The model (below a megabyte) travels with the task. Rows are coded one by one in the batches that Arrow
-    hands over, with a memory of at most twice REMEMBERED segments a worker; there is no shuffle. Repeated rows give
-    repeated rows; other columns are not read.
+    Every text is encoded with the span of each piece and its ids are decoded again. Null counts as empty, an empty
+    text has no ids, an empty table gives no rows. The model (below a megabyte) travels with the task. Rows
+    are coded one by one in the batches that Arrow hands over, with a memory of at most twice REMEMBERED segments a
+    worker; there is no shuffle. Repeated rows give repeated rows; other columns are not read.
     """
     data = model_bytes(model_path)
     kind = docs.schema[ident].dataType.simpleString()
@@ -366,14 +368,15 @@ def token_digests(docs: DataFrame, model_path: str, ident: str = "doc_id") -> Da
         coder = _Coder(data)
         for batch in batches:
             found = [coder.digest(t.as_py() or "") for t in batch.column(1)]
-            n, ids, decoded = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[ident, "n_tokens", "ids_sha256", "decoded_sha256"])
+            n, *digests = zip(*found, strict=True) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in digests)], names=[ident, "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
-    return docs.select(ident, "text").mapInArrow(run, f"{ident} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(ident, "text").mapInArrow(run, f"{ident} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """``docs`` with pieces: an array of (id, begin, end), spans in bytes of the text in UTF-8; null counts as empty."""
+    """``docs`` with pieces (in place of a column of that name): an array of (id, begin, end), spans in bytes of the text in
+    UTF-8; null counts as empty and an empty text has none."""
     data = model_bytes(model_path)
 
     @F.pandas_udf("array<struct<id:int,begin:int,end:int>>")
@@ -385,13 +388,14 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """``encoded`` with decoded: the text that the ids of its pieces stand for."""
+    """``encoded`` with decoded (in place of a column of that name): the text that the ids of its pieces stand for, empty for
+    none. Null pieces give null."""
     data = model_bytes(model_path)
 
     @F.pandas_udf("string")
     def texts(ids):
         model, _ = _model(data)
-        return ids.map(lambda x: model.decode(list(x)))
+        return ids.map(lambda x: None if x is None else model.decode(list(x)))
 
     return encoded.withColumn("decoded", texts(F.transform("pieces", lambda p: p["id"])))
 
