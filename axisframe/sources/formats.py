@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
-from . import chunked, files, mtx, store, tables
+from . import chunked, counts, files, hdf5, loom, mtx, mudata, store, tables
 
 
 @dataclass(frozen=True)
 class Format:
-    """A format: a test of a path's content, a reader, a writer if there is one, the options that it takes, its endings."""
+    """A format: a test of a path's content, a reader, a writer if there is one, the options that the reader takes, its
+    endings, the options that the writer takes."""
 
     name: str
     sniff: Callable[[SparkSession, str], bool]
@@ -20,6 +21,7 @@ class Format:
     write: Callable | None = None
     options: tuple[str, ...] = ()
     endings: tuple[str, ...] = ()
+    writes: tuple[str, ...] = ()
 
 
 def _has(*wanted: str):
@@ -55,8 +57,22 @@ def _matrix_only(spark: SparkSession, path: str):
     return empty.with_matrix("X", m)
 
 
+def _annotated_file(spark: SparkSession, path: str) -> bool:
+    if not _starts(hdf5.MAGIC)(spark, path):
+        return False
+    tree = hdf5.FileTree(spark, path)
+    return tree.exists("obs") and tree.exists("var")
+
+
+_COUNTS = ("names", "feature_type", "genome", "make_unique")
 #: In the order in which content is tested; the store itself comes last, and a matrix of text after all that is marked.
 FORMATS = (
+    Format("cellbender", counts.has_latents, counts.read_cleaned, options=(*_COUNTS, "least_probability", "raw")),
+    Format("10x-h5", counts.is_counts, counts.read, counts.write, _COUNTS, (".h5",), ("layer", "force")),
+    Format("loom", loom.is_loom, loom.read, loom.write, ("layer", "dense", "names", "obs_names_attr", "var_names_attr", "make_unique"), (".loom",), ("layer", "scope", "clusterings", "default_embedding")),
+    Format("mudata", mudata.is_modalities, mudata.read, mudata.write, ("mod",), (".h5mu",), ("mod", "column")),
+    Format("h5ad", _annotated_file, hdf5.read, hdf5.write, endings=(".h5ad",)),
+    Format("hdf5", lambda spark, path: False, hdf5.read_dataset, options=("key", "transpose", "dense", "obs_names_key", "var_names_key", "make_unique"), endings=(".hdf5", ".he5")),
     Format("run", _has("count_matrix.mtx", "all_genes.csv", "cell_metadata.csv"), mtx.read_run, options=("genome",)),
     Format("mtx-folder", _has("matrix.mtx", "barcodes.tsv"), mtx.read_folder, mtx.write_folder, ("names", "feature_type", "genome")),
     Format("mtx", _starts(mtx.BANNER.encode()), _matrix_only, lambda s, p, replace=False: mtx.write(s.matrices["X"], p, replace=replace), endings=(".mtx", ".mtx.gz")),
@@ -64,8 +80,8 @@ FORMATS = (
     Format("zarr", lambda spark, path: any(n in (".zgroup", "zarr.json") for n in files.names(spark, path)), chunked.read, chunked.write, endings=(".zarr",)),
     Format("store", _has(store.MANIFEST), store.load, lambda s, p, replace=False: store.save(s, p, replace), endings=(".store",)),
 )
-# Formats that need a library for HDF5 or pickles, which is not here, and how their files begin or end.
-UNREADABLE = {"HDF5": (b"\x89HDF\r\n\x1a\n",), "pickle": (b"\x80\x04\x95", b"\x80\x05\x95")}
+# Files that are named when they are refused, and how they begin.
+UNREADABLE = {"HDF5 without a layout that is known (name one, hdf5 with a key for one array)": (hdf5.MAGIC,), "pickle": (b"\x80\x04\x95", b"\x80\x05\x95")}
 
 
 def detect(spark: SparkSession, path: str) -> Format:
@@ -107,8 +123,14 @@ def read(spark: SparkSession, path: str, name: str | None = None, **options) ->
 
 
 def convert(spark: SparkSession, source: str, target: str, source_format: str | None = None, target_format: str | None = None, replace: bool = False, **options) -> None:
-    """Read one format and write another; all checks of the source come before any output."""
+    """Read one format and write another; all checks of the source come before any output. An option goes to the side that
+    takes it, one that neither takes is refused."""
     to = by_name(target, target_format)
     if to.write is None:
         raise ValueError(f"{to.name} is not written")
-    to.write(read(spark, source, source_format, **options), target, replace=replace)
+    of = by_name(source, source_format) if source_format else detect(spark, source)
+    odd = [k for k in options if k not in of.options and k not in to.writes]
+    if odd:
+        raise ValueError(f"neither {of.name} nor {to.name} takes {odd[0]}")
+    found = of.read(spark, source, **{k: v for k, v in options.items() if k in of.options})
+    to.write(found, target, replace=replace, **{k: v for k, v in options.items() if k in to.writes and k not in of.options})

@@ -17,9 +17,10 @@ from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import codecs, files, trees
-from .store import Store
+from .store import Frame, Matrix, Store
 from .trees import Array
 
 # The mark of a file, message numbers, filter numbers, the address of nothing.
@@ -647,10 +648,10 @@ class _Object:
 class FileSink(trees.Sink):
     """Writes one file: chunks are packed by tasks and appended as they come, the structure follows at the end."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, before: int = 0):
+        self.spark, self.path, self.before = spark, path, before
         self.out = files.open_output(path)
-        self.out.write(bytes(96))
+        self.out.write(bytes(before + 96))
         self.end = 96
         self.objects: dict[str, _Object] = {"": _Object({}, {})}
 
@@ -819,14 +820,14 @@ class FileSink(trees.Sink):
         o = self.objects[path]
         return self._write_group(o, leaf)[0] if o.members is not None else self._write_array(o)
 
-    def close(self) -> None:
-        """Write the structure and, last, the start of the file."""
+    def close(self, first: bytes = b"") -> None:
+        """Write the structure and, last, the start of the file, after ``first`` in the bytes kept before it."""
         leaf = 4
         root, tree, heap = self._write_group(self.objects[""], leaf)
         head = MAGIC + struct.pack("<BBBBBBBBHHI", 0, 0, 0, 0, 0, 8, 8, 0, leaf, 16, 0)
-        head += struct.pack("<QQQQ", 0, NOWHERE, self.end, NOWHERE) + struct.pack("<QQII", 0, root, 1, 0) + struct.pack("<QQ", tree, heap)
+        head += struct.pack("<QQQQ", self.before, NOWHERE, self.before + self.end, NOWHERE) + struct.pack("<QQII", 0, root, 1, 0) + struct.pack("<QQ", tree, heap)
         self.out.seek(0)
-        self.out.write(head)
+        self.out.write(first[: self.before].ljust(self.before, b"\0") + head)
         self.out.close()
 
 
@@ -836,3 +837,53 @@ def write(store: Store, path: str, replace: bool = False) -> None:
         sink = FileSink(store.spark, new)
         trees.write_store(sink, store)
         sink.close()
+
+
+def arrays_of(tree: FileTree) -> dict[str, FileArray]:
+    """All arrays of a file by path."""
+    found, todo = {}, [""]
+    while todo:
+        path = todo.pop()
+        for name in tree.names(path):
+            at = f"{path}/{name}".strip("/")
+            a = tree.array(at)
+            if a is None:
+                todo.append(at)
+            else:
+                found[at] = a
+    return found
+
+
+def read_dataset(spark: SparkSession, path: str, key: str | None = None, transpose: bool = False, dense: bool = False, obs_names_key: str | None = None, var_names_key: str | None = None, make_unique: bool = False) -> Store:
+    """One array of numbers with two dimensions as a store; without a key the arrays that could be meant are named."""
+    from .store import create
+
+    tree = FileTree(spark, path)
+    every = arrays_of(tree)
+    numeric = {k: a for k, a in every.items() if len(a.shape) == 2 and a.type.what == "number"}
+    if key is None or key not in numeric:
+        lines = [f"{k} ({a.shape[0]} x {a.shape[1]}, {a.name})" for k, a in numeric.items()]
+        raise ValueError(("a key is needed" if key is None else f"{key!r} is no array of numbers with two dimensions") + (": " + ", ".join(lines) if lines else ", and there is none"))
+    a = numeric[key]
+    shape = a.shape[::-1] if transpose else a.shape
+    sides = {"obs": (obs_names_key, "col_names" if transpose else "row_names", shape[0]), "var": (var_names_key, "row_names" if transpose else "col_names", shape[1])}
+    used, found = {"key": key}, {}
+    for side, (asked, usual, n) in sides.items():
+        at = asked or (usual if usual in every else None)
+        if at is not None and (at not in every or every[at].shape != (n,)):
+            if asked:
+                raise ValueError(f"{at!r} does not name {n} of {side}")
+            at = None
+        if at is not None:
+            used[f"{side}_names_key"] = at
+            found[side] = Frame(trees.columns(spark, {"name": every[at]}).select("pos", F.col("name").cast("string").alias("name")))
+    empty = create(spark, *shape)
+    from ..functions import names as naming
+    from ..operators import matrix
+    from . import loom
+
+    x = loom.nonzero(spark, a)
+    x = x.select(F.col("j").alias("i"), F.col("i").alias("j"), "v") if transpose else x
+    m = Matrix(x, shape, "float32" if a.name == "float16" else a.name)
+    var = found.get("var", empty.var)
+    return Store(found.get("obs", empty.obs), Frame(naming.unique_rows(var.data)) if make_unique else var, {"X": matrix.densified(m) if dense else m}, {}, {"hdf5": used})

@@ -149,7 +149,7 @@ def _fields(line: str, sep: str | None) -> list[str]:
 
 
 def _number(text: str) -> bool:
-    return bool(re.fullmatch(typing.NUMBER[4:], text.strip(), re.I)) or text.strip().lower() in ("nan", "na", "")
+    return typing.reads_as_number(text)
 
 
 def layout(spark: SparkSession, path: str, sep: str | None = "auto") -> Layout:
@@ -189,7 +189,7 @@ def read_dense(spark: SparkSession, path: str, transpose: bool = False, sep: str
     width = len(how.columns) if how.columns is not None else rows.select(F.size("f")).first()[0] - extra
     values = F.slice("f", 1 + extra, width) if width else F.array().cast("array<string>")
     odd = F.size("f") != width + extra
-    wrong = F.exists(values, lambda x: ~x.rlike(typing.NUMBER) & ~F.lower(x).isin("nan", "na"))
+    wrong = F.exists(values, lambda x: ~typing.is_number(x) & ~F.lower(x).isin("nan", "na"))
     bad = rows.agg(F.min(F.when(odd, F.col("line"))).alias("odd"), F.min(F.when(wrong, F.col("line"))).alias("wrong")).first()
     if bad["odd"] is not None or bad["wrong"] is not None:
         k = min(x for x in (bad["odd"], bad["wrong"]) if x is not None)

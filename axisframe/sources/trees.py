@@ -269,45 +269,66 @@ def encoding(tree: Tree, path: str) -> str:
     return "dataframe" if "_index" in tree.attributes(path) else "dict"
 
 
-def column(tree: Tree, path: str) -> tuple[DataFrame, Categories | None, bool]:
-    """(pos, v) of a column: plain, categorical (codes and categories) or nullable (values and mask); its categories, and
-    whether it may have gaps."""
-    spark = tree.spark
-    a = tree.array(path)
-    if a is not None:
-        labels = tree.attributes(path).get("categories")
-        if isinstance(labels, str) and tree.exists(labels):
-            # The older form: codes with a reference to their labels.
-            found = whole(tree.array(labels)).tolist()
-            return values(spark, a).select("pos", axis.labels_of(F.col("v"), found).alias("v")), Categories(tuple(found), bool(tree.attributes(labels).get("ordered", False))), False
-        return values(spark, a), None, False
-    kind = encoding(tree, path)
-    if kind == "categorical":
-        labels = whole(tree.array(f"{path}/categories")).tolist()
-        codes = values(spark, tree.array(f"{path}/codes"))
-        return codes.select("pos", axis.labels_of(F.col("v"), labels).alias("v")), Categories(tuple(labels), bool(tree.attributes(path).get("ordered"))), False
-    if kind.startswith("nullable"):
-        x, m = values(spark, tree.array(f"{path}/values")), values(spark, tree.array(f"{path}/mask"))
-        return x.join(m.withColumnRenamed("v", "gone"), "pos").select("pos", F.when(~F.col("gone"), F.col("v")).alias("v")), None, True
-    raise ValueError(f"{path}: a column of kind {kind!r} is not read")
+def columns(spark: SparkSession, arrays: dict[str, Array], what: str = "table") -> DataFrame:
+    """(pos, ...) of one-dimensional arrays of one length, side by side: each task reads the same range of all of them."""
+    sizes = {a.shape[0] for a in arrays.values()}
+    if len(sizes) > 1:
+        raise ValueError(f"{what}: its columns differ in length: {', '.join(f'{k} {a.shape[0]}' for k, a in arrays.items())}")
+    n = sizes.pop()
+    schema = "pos long, " + ", ".join(f"`{k}` {a.kind}" for k, a in arrays.items())
+    if not n:
+        return spark.createDataFrame([], schema)
+    step = max(1, RUN // len(arrays))
+    kinds = {k: a.kind for k, a in arrays.items()}
+    jobs = [(b, {k: _range(a, b, min(n, b + step)) for k, a in arrays.items()}) for b in range(0, n, step)]
+
+    def run(batches):
+        for batch in batches:
+            for job in batch.column(0):
+                begin, parts = pickle.loads(job.as_py())
+                read = [arrow(read_range(p), kinds[k]) for k, p in parts.items()]
+                pos = pa.array(np.arange(begin, begin + len(read[0]), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pos, *read], names=["pos", *parts])
+
+    return _jobs(spark, jobs).mapInArrow(run, schema)
 
 
 def frame(tree: Tree, path: str) -> Frame:
-    """A group of columns as an axis frame, joined by position."""
+    """A group of columns as an axis frame. Columns are plain, categorical (codes and labels; in an older form the labels
+    lie apart and codes refer to them) or nullable (values and a mask); all are read side by side."""
     attributes = tree.attributes(path)
-    index = attributes.get("_index", "_index")
-    names, _, _ = column(tree, f"{path}/{index}")
-    data = names.select("pos", F.coalesce(F.col("v").cast("string"), F.lit("")).alias("name"))
-    categories = {}
+    index = plain(attributes.get("_index", "_index"))
     order = [str(c) for c in np.atleast_1d(np.array(attributes.get("column-order", []), object)).tolist()]
     # Columns that the list leaves out come after those that it names.
     order += [c for c in tree.names(path) if c not in order and c not in (index, "__categories")]
-    for c in order:
-        v, k, nullable = column(tree, f"{path}/{c}")
-        data = data.join(v.select("pos", F.col("v").alias(c, metadata={"nullable": True} if nullable else {})), "pos", "left")
-        if k is not None:
-            categories[c] = k
-    return Frame(data, categories)
+    arrays: dict[str, Array] = {}
+    made: list[tuple[str, Any, bool]] = []
+    categories = {}
+    for k, c in enumerate([index, *order]):
+        at, own, nullable = f"{path}/{c}".strip("/"), f"c{k}", False
+        a = tree.array(at)
+        value = F.col(own)
+        if a is not None:
+            arrays[own] = a
+            labels = tree.attributes(at).get("categories")
+            if isinstance(labels, str) and tree.exists(labels):
+                found = whole(tree.array(labels)).tolist()
+                value = axis.labels_of(value, found)
+                categories[c] = Categories(tuple(found), bool(plain(tree.attributes(labels).get("ordered", False))))
+        elif (kind := encoding(tree, at)) == "categorical":
+            labels = whole(tree.array(f"{at}/categories")).tolist()
+            arrays[own] = tree.array(f"{at}/codes")
+            value = axis.labels_of(value, labels)
+            categories[c] = Categories(tuple(labels), bool(plain(tree.attributes(at).get("ordered", False))))
+        elif kind.startswith("nullable"):
+            arrays[own], arrays[f"m{k}"] = tree.array(f"{at}/values"), tree.array(f"{at}/mask")
+            value, nullable = F.when(~F.col(f"m{k}"), value), True
+        else:
+            raise ValueError(f"{at}: a column of kind {kind!r} is not read")
+        made.append((c, value, nullable))
+    rows = columns(tree.spark, arrays, path)
+    name = F.coalesce(made[0][1].cast("string"), F.lit("")).alias("name")
+    return Frame(rows.select("pos", name, *[v.alias(c, metadata={"nullable": True} if n else {}) for c, v, n in made[1:]]), categories)
 
 
 def array_matrix(tree: Tree, path: str) -> Matrix:
