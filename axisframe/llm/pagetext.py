@@ -4,13 +4,26 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_right
+from collections import deque
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut, discard
+
+#: Pages that a page is held against, and places before and after it that they are looked for in.
+NEIGHBOURS = 6
+WINDOW = 8
+#: A line of a marked article goes only if so many neighbours or more have it, and all of them.
+ALL_OF = 4
+#: Pages of a part, at least.
+PART = 64
+
 # Names of HTML elements and the words that mark a container's role.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -134,8 +147,41 @@ def parse(source: str) -> Page:
     return page
 
 
+def _prefix_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of longest common subsequences of ``a`` and every beginning of ``b``, from the empty one on; all places of
+    ``b`` at once as the bits of one number."""
+    at: dict[int, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        hit = row & at.get(x, 0)
+        row = (row + hit | row - hit) & full
+    # A zero bit is a place of b at which the length grows.
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _common(a: list[int], b: list[int], at: int, out: set[int]) -> None:
+    """Add the places (from ``at`` on) of a longest common subsequence in ``a``: halve ``a``, find where ``b`` divides."""
+    if not a or not b:
+        return
+    if len(a) == 1:
+        if a[0] in b:
+            out.add(at)
+        return
+    half = len(a) // 2
+    ahead = _prefix_lengths(a[:half], b)
+    behind = _prefix_lengths(a[:half - 1 : -1], b[::-1])
+    cut = int((ahead + behind[::-1]).argmax())
+    _common(a[:half], b[:cut], at, out)
+    _common(a[half:], b[cut:], at + half, out)
+
+
 def aligned(a: list[str], b: list[str]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence with ``b``."""
+    """Places in ``a`` of a longest common subsequence with ``b``; time grows with the product of the lengths over the width
+    of a machine word, memory with their sum, however often lines repeat."""
     n = 0
     while n < len(a) and n < len(b) and a[n] == b[n]:
         n += 1
@@ -143,34 +189,31 @@ def aligned(a: list[str], b: list[str]) -> set[int]:
     while end < len(a) - n and end < len(b) - n and a[-1 - end] == b[-1 - end]:
         end += 1
     out = {*range(n), *range(len(a) - end, len(a))}
-    places: dict[str, list[int]] = {}
-    for j in range(len(b) - end - 1, n - 1, -1):
-        places.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    chains: list[tuple] = []
-    for i in range(n, len(a) - end):
-        for j in places.get(a[i], ()):
-            k = bisect_left(ends, j)
-            link = (i, chains[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                chains.append(link)
-            elif j < ends[k]:
-                ends[k], chains[k] = j, link
-    link = chains[-1] if chains else None
-    while link:
-        out.add(link[0])
-        link = link[1]
+    both = {x: k for k, x in enumerate(set(a[n : len(a) - end]) & set(b[n : len(b) - end]))}
+    if both:
+        places = [i for i in range(n, len(a) - end) if a[i] in both]
+        found: set[int] = set()
+        _common([both[a[i]] for i in places], [both[x] for x in b[n : len(b) - end] if x in both], 0, found)
+        out.update(places[k] for k in found)
     return out
 
 
-def main_lines(page: Page, shared: set[int]) -> list[str]:
-    """Lines of the main text: those inside the article if the page marks one, else all that neither the structure nor the
-    nearest page (``shared``) gives away."""
-    rows = range(len(page.lines))
-    if page.marked and any(page.article):
-        return [page.lines[k] for k in rows if page.article[k] and not page.outside[k]]
-    return [page.lines[k] for k in rows if not page.outside[k] and k not in shared]
+def main_lines(page: Page, shared: dict[int, int], neighbours: int) -> list[str]:
+    """Lines of the main text: those that the structure leaves in and that the neighbours do not give away.
+
+    ``shared`` says with how many of the ``neighbours`` a line is aligned. A line goes if most of them have it, a line
+    inside a marked article if all of ALL_OF or more have it, as different articles may well have a line in common. If
+    the page marks an article, what stands outside goes.
+    """
+    marked = page.marked and any(page.article)
+    kept = []
+    for k, line in enumerate(page.lines):
+        if page.outside[k] or marked and not page.article[k]:
+            continue
+        n = shared.get(k, 0)
+        if not (n == neighbours >= ALL_OF if page.article[k] else 2 * n > neighbours):
+            kept.append(line)
+    return kept
 
 
 def _near(path: str, other: str) -> int:
@@ -183,79 +226,197 @@ def _near(path: str, other: str) -> int:
     return n
 
 
-def differs(a: list[str], b: list[str]) -> bool:
+@dataclass
+class Entry:
+    """A page in its place among the pages of its host."""
+
+    page_id: int | None
+    url: str | None
+    host: str | None
+    path: str
+    own: bool
+    page: Page
+    lines: frozenset[str]
+    chars: int
+
+
+def differs(a: Entry, b: Entry) -> bool:
     """Whether ``b`` can tell what is main text in ``a``, being no copy of it: ``a`` has lines of its own, and the lines that
     only one of them has hold a fifth of the characters of all distinct lines or more."""
-    x, y = set(a), set(b)
-    return bool(x - y) and 5 * sum(map(len, x ^ y)) >= sum(map(len, x | y))
+    if a.lines is b.lines or a.lines <= b.lines:
+        return False
+    both = sum(map(len, a.lines & b.lines))
+    return 4 * (a.chars + b.chars) >= 9 * both
+
+
+def neighbours(one: Entry, before: Sequence[Entry], after: Sequence[Entry]) -> list[Entry]:
+    """The up to NEIGHBOURS nearest of the pages before and after (nearest first each) on the same host that are no copies:
+    those whose paths have more steps in common, then the closer ones."""
+    if one.host is None:
+        return []
+    ranked = [(-_near(one.path, x.path), d, side, x) for side, rows in enumerate((before, after)) for d, x in enumerate(rows) if x.host == one.host]
+    ranked.sort(key=lambda r: r[:3])
+    out: list[Entry] = []
+    for *_, x in ranked:
+        if len(out) == NEIGHBOURS:
+            break
+        # Of copies of one page one is asked.
+        if differs(one, x) and all(x.lines != y.lines for y in out):
+            out.append(x)
+    return out
+
+
+_RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared", pa.int64())])
 
 
 def _extract(batches):
-    """Pages come sorted by host and path; each is held against the nearer of the closest pages before and after it on its
-    host that are no copies of it."""
-    #: Pages of the host that have no later page to be held against yet, and the last pages that differ from each other.
-    waiting: list[tuple] = []
-    before: list[tuple] = []
+    """Pages come sorted by part, host and path; each one of the part's own is held against those up to WINDOW places before
+    and after it."""
     out: list[tuple] = []
+    size = 0
+    held: deque[Entry] = deque()
+    #: Pages of ``held`` that are done.
+    done = 0
+    of = None
 
-    def finish(one, earlier, after):
-        page_id, url, host, path, page = one
-        best = None
-        for other in (earlier, after):
-            if other and (best is None or _near(path, other[3]) > _near(path, best[3])):
-                best = other
-        shared = set()
-        if best is not None:
-            shared = {k for k in aligned(page.lines, best[4].lines) if not page.article[k]}
-        text = "\n".join(main_lines(page, shared))
-        out.append((page_id, url, text, len(text), len(shared)))
-
-    def batch_of():
-        columns = list(zip(*out, strict=True)) or [[] for _ in range(5)]
+    def finish(k: int) -> None:
+        nonlocal size
+        one = held[k]
+        if not one.own:
+            return
+        rows = list(held)
+        near = neighbours(one, rows[max(0, k - WINDOW) : k][::-1], rows[k + 1 : k + 1 + WINDOW])
+        shared: dict[int, int] = {}
+        for x in near:
+            for at in aligned(one.page.lines, x.page.lines):
+                shared[at] = shared.get(at, 0) + 1
+        text = "\n".join(main_lines(one.page, shared, len(near)))
+        size += len(text)
+        out.append((one.page_id, one.url, text, len(text), sum(2 * n > len(near) for n in shared.values())))
+
+    def batch_of() -> pa.RecordBatch:
+        nonlocal size
+        columns = list(zip(*out, strict=True)) or [[] for _ in _RESULT]
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars", "n_shared"])
+        size = 0
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _RESULT, strict=True)], schema=_RESULT)
 
-    size, of = 0, None
     for batch in batches:
         for r in range(batch.num_rows):
-            page_id, url, source, host, path = (batch.column(k)[r].as_py() for k in range(5))
-            new = (page_id, url, host, path or "", parse(source or ""))
-            done, ready = len(out), []
-            if waiting and new[4].lines == (was := waiting[-1][0][4]).lines and new[4].article == was.article and new[4].outside == was.outside and new[4].marked == was.marked:
-                new = (*new[:4], was)  # a run of exact copies is held once
-            if host is None or host != of:
-                ready = [(w, e, None) for w, e in waiting]
-                waiting, before, of = [], [], host
-            elif waiting and waiting[-1][0][4] is not new[4] and differs(waiting[-1][0][4].lines, new[4].lines):
-                # A run of copies ends.
-                ready = [(w, e, new if differs(w[4].lines, new[4].lines) else None) for w, e in waiting]
-                waiting = []
-            for w, e, after in ready:
-                finish(w, e, after)
-            earlier = next((b for b in reversed(before) if differs(new[4].lines, b[4].lines)), None)
-            waiting.append((new, earlier))
-            # Of a run of copies the last one stands for all.
-            before = [b for b in before if differs(b[4].lines, new[4].lines)][-1:] + [new]
-            size += sum(x[3] for x in out[done:])
+            page_id, url, source, host, path, part, own = (batch.column(k)[r].as_py() for k in range(7))
+            if part != of:
+                while done < len(held):
+                    finish(done)
+                    done += 1
+                held.clear()
+                done, of = 0, part
+            page = parse(source or "")
+            last = held[-1] if held else None
+            if last is not None and page == last.page:
+                lines, page = last.lines, last.page  # a run of exact copies is held once
+            else:
+                lines = frozenset(page.lines)
+            held.append(Entry(page_id, url, host, path or "", own, page, lines, sum(map(len, lines))))
+            if len(held) - done > WINDOW:
+                finish(done)
+                done += 1
+            if done > WINDOW:
+                held.popleft()
+                done -= 1
             if size > 2_000_000:
                 yield batch_of()
-                size = 0
-    for w, e in waiting:
-        finish(w, e, None)
+    while done < len(held):
+        finish(done)
+        done += 1
     yield batch_of()
 
 
+def _borders(slim: DataFrame) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """Of keys (host, path, page_id) in order, the first of each part but the first, and those WINDOW places before and after
+    it. There are as many parts as shuffle partitions, of PART rows at least."""
+    spark = slim.sparkSession
+    slim = cut(slim.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id").withColumn("at", F.monotonically_increasing_id()), "keys")
+    split = F.shiftright("at", 33)
+    sizes = dict(slim.groupBy(split.alias("k")).count().collect())  # one row a partition
+    n = sum(sizes.values())
+    each = max(PART, -(-n // int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    start, at = {}, 0
+    for k in sorted(sizes):
+        start[k] = at
+        at += sizes[k]
+    wanted = [x for b in range(each, n - WINDOW, each) for x in (b - WINDOW, b, b + WINDOW)]
+    # Where each wanted rank lies: its partition and its place there.
+    keys, order = [], sorted(start)
+    for x in wanted:
+        k = order[bisect_right([start[o] for o in order], x) - 1]
+        while sizes[k] <= x - start[k]:
+            k = order[order.index(k) + 1]
+        keys.append((k << 33) + x - start[k])
+    if not keys:
+        discard(slim)
+        return [], [], []
+    found = {r[0]: tuple(r[1:]) for r in slim.join(F.broadcast(spark.createDataFrame([(k,) for k in keys], "at long")), "at").select("at", "host", "path", "page_id").collect()}  # three rows a part
+    discard(slim)
+    rows = [_key(*found[k]) for k in keys]
+    return rows[1::3], rows[::3], rows[2::3]
+
+
+def _seats(spark: SparkSession, n: int) -> list[int]:
+    """For each of ``n`` partitions a number that a hash deals to it, so that every part has a partition of its own."""
+    found: dict[int, int] = {}
+    most = 16 * n
+    while len(found) < n:
+        rows = spark.range(most).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id"))
+        found = {r.p: r.id for r in rows.collect()}  # one row a partition
+        most *= 4
+    return [found[k] for k in range(n)]
+
+
+def _key(host: str | None, path: str | None, page_id: int | None) -> tuple:
+    """A key that sorts as Spark does, nulls first."""
+    return tuple((x is not None, x.encode("utf-8") if isinstance(x, str) else x or 0) for x in (host, path, page_id))
+
+
+def _targets(host: pa.Array, path: pa.Array, page_id: pa.Array, borders: tuple[list, list, list]) -> pa.Array:
+    """The parts that each page goes to, its own one first, as (part, own)."""
+    first, before, after = borders
+    out = []
+    for key in zip(host.to_pylist(), path.to_pylist(), page_id.to_pylist(), strict=True):
+        key = _key(*key)
+        part = bisect_right(first, key)
+        rows = [{"part": part, "own": True}]
+        if part < len(first) and key >= before[part]:
+            rows.append({"part": part + 1, "own": False})
+        if part and key < after[part - 1]:
+            rows.append({"part": part - 1, "own": False})
+        out.append(rows)
+    return pa.array(out, pa.list_(pa.struct([("part", pa.int32()), ("own", pa.bool_())])))
+
+
 def extract(pages: DataFrame) -> DataFrame:
-    """Per page: page_id, url, text, n_chars, and n_shared (lines outside an article that the nearest page has too).
-
-    Pages are ranged by (host, path, page_id), which splits a large host over tasks, and each is
-    compared with the closest page on either side that is no copy of it, of the two the one whose path has more steps
-    in common; at the edge of a range the side within it serves. Copies, exact or near, say nothing of what is main text. Lines aligned by a longest common subsequence are deleted, except inside
-    marked articles, where different articles may well share lines. Null and empty html give an
-    empty text; a null url or one without a host is compared with nothing; repeated rows stay apart.
-    Other columns are not read.
+    """Per page: page_id, url, text, n_chars, and n_shared (lines that most of its neighbours have too).
+
+    Pages are ordered by (host, path, page_id), which splits a large host over parts; each part also gets the WINDOW pages
+    on either side of it, so that no result depends on where parts end. A page is held against the up to NEIGHBOURS nearest
+    within that window that are no copies of it; what a longest common subsequence aligns with most of them is deleted
+    (``main_lines``). Copies, exact or near, say nothing of what is main text. Null and empty html give an
+    empty text; a null url or one without a host is compared with nothing; repeated rows stay apart; an empty table gives
+    no rows. Other columns are not read.
     """
     host, path = F.lower(F.try_parse_url("url", F.lit("HOST"))), F.try_parse_url("url", F.lit("PATH"))
     rows = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
-    rows = rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    borders = _borders(rows.select("host", "path", "page_id"))
+    if borders[0]:
+
+        @F.arrow_udf("array<struct<part:int,own:boolean>>")
+        def targets(host: pa.Array, path: pa.Array, page_id: pa.Array) -> pa.Array:
+            return _targets(host, path, page_id, borders)
+
+        rows = rows.withColumn("to", F.explode(targets.asNondeterministic()("host", "path", "page_id"))).select("page_id", "url", "html", "host", "path", "to.part", "to.own")
+        n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        seats = pages.sparkSession.createDataFrame(list(enumerate(_seats(pages.sparkSession, n)[: len(borders[0]) + 1])), "part int, seat long")
+        rows = rows.join(F.broadcast(seats), "part").repartition(n, "seat").select("page_id", "url", "html", "host", "path", "part", "own")  # a row a partition is broadcast
+    else:
+        rows = rows.withColumn("part", F.lit(0)).withColumn("own", F.lit(True)).coalesce(1)
+    rows = rows.sortWithinPartitions("part", "host", "path", "page_id")
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long, n_shared long")
