@@ -86,19 +86,18 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """``rows`` joined (inner) with ``facts``, which has one row a key and in ``weight`` how many of ``rows`` have it.
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``facts``, which has one row a key and in ``weight`` how many of ``rows`` have it.
 
     Keys with more than a HOT_PART-th of all those rows are fewer than HOT_PART, so their facts are broadcast and their
     rows stay where they are; all others are shuffled. Both sides must be cheap to read again.
     """
     total, most = facts.agg(F.sum(weight), F.max(weight)).first()
-    cold = facts.drop(weight)
     if not total or most * HOT_PART <= total:
-        return rows.join(cold.hint("shuffle_hash"), keys)
+        return rows.join(facts.drop(weight).hint("shuffle_hash"), keys, how)
     hot = F.col(weight) * HOT_PART > total
     few = facts.where(hot).drop(weight)
-    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(facts.where(~hot).drop(weight).hint("shuffle_hash"), keys)
+    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(facts.where(~hot).drop(weight).hint("shuffle_hash"), keys, how)
     return rows.join(F.broadcast(few), keys).unionByName(rest)
 
 

@@ -10,14 +10,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard
+from .common import cut, discard, spread_join
 
 #: Payloads from this size on are written once and referred to afterwards.
 REVISIT_FROM = 1000
 #: Characters of a block that one segment holds.
-SEGMENT = 32_768
+SEGMENT = 16_384
 #: Characters in one chunk of the transfer framing.
-CHUNK = 16_384
+CHUNK = 4_096
+#: Owners of repeated payloads, of about a hundred bytes each, that are broadcast at most.
+BROADCAST_OWNERS = 50_000
+#: Bytes of payload that an archive file holds, about.
+FILE = 64 << 20
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -48,15 +52,19 @@ def write_warc(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM, se
     ``revisit_from`` bytes or more the one with the largest page_id is the response, the others are
     revisits. Blocks over ``segment`` characters continue in continuation records. Records are text, so
     Spark's own writer puts them where its file systems reach; it ends each with the blank lines that
-    the format asks for. Every row has a record id of its own, also one that repeats another; rows without a page_id are responses.
+    the format asks for; a file holds about FILE bytes. Every row has a record id of its own, also one that repeats
+    another; rows without a page_id are responses; an empty table gives no records. Other columns are not read.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     # Written down, so that a row has the same number wherever it is read.
     rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", payload.alias("payload"))
     rows = cut(rows.withColumn("digest", F.sha1(F.encode("payload", "UTF-8"))).withColumn("bytes", F.octet_length("payload")), "pages")
-    owner = rows.where((F.col("bytes") >= revisit_from) & F.col("page_id").isNotNull()).groupBy(F.col("digest").alias("d")).agg(F.max(F.struct("page_id", "row")).alias("owner"), F.count("*").alias("n"))
+    owner = rows.where((F.col("bytes") >= revisit_from) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("owner"), F.count("*").alias("n"))
+    owner = cut(owner.where("n > 1"), "owners")
     stored = rows
-    rows = rows.join(owner.where("n > 1").drop("n").hint("shuffle_hash"), F.col("digest") == F.col("d"), "left").drop("d")
+    mean = rows.agg(F.avg("bytes")).first()[0] or 0
+    # Few owners are broadcast, so that no payload moves; more are met in a join that spreads what many pages have.
+    rows = rows.join(F.broadcast(owner.drop("n")), "digest", "left") if owner.count() <= BROADCAST_OWNERS else spread_join(rows, owner, ["digest"], "n", "left")
     again = F.coalesce(F.col("page_id") != F.col("owner.page_id"), F.lit(False))
     uri = F.regexp_replace("url", r"[\x00-\x20]", "%20")
     rows = rows.withColumn("id", _urn(F.col("page_id"), F.col("digest"), F.col("row")))
@@ -84,8 +92,8 @@ def write_warc(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM, se
         F.when(F.col("k") + 1 == F.col("of"), line("WARC-Segment-Total-Length", F.col("total"))).otherwise(""),
     )
     record = F.concat(F.lit("WARC/1.1\r\n"), F.when(F.col("k") == 0, first).otherwise(more), line("Content-Length", F.octet_length("part")), F.lit("\r\n"), F.col("part"))
-    rows.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 20_000).text(path)
-    discard(stored)
+    rows.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", max(1, int(FILE / (mean + 1024)))).text(path)
+    discard(stored, owner)
 
 
 def decode_chunked(block: bytes) -> bytes:
@@ -209,7 +217,8 @@ def _parse(batches, keep: bool):
 
 def read_records(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """The records of the archives under ``path``: whole ones with size and digest of their payload (and the payload
-    if asked for), segments with their block.
+    if asked for), segments with their block. Records without a page number have a null page_id, an empty payload
+    has size 0; a record that comes twice gives two rows, an archive without records none.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(lambda it: _parse(it, payloads), _COLUMNS)
@@ -238,7 +247,9 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
 
     Segments are grouped by their origin, ordered by number and joined; a gap, a total length that
     differs, a broken chunk or a digest that differs raises an error. Only segmented records are shuffled
-    with their blocks. A revisit takes size and page from the response it refers to.
+    with their blocks. A revisit takes size and page from the response it refers to, or nulls if there is none;
+    a response that many refer to is spread. Records without a page number have a null page_id; repeated
+    records stay, an archive without records gives no rows.
     """
     raw = cut(read_records(spark, path, payloads), "records")
     split = raw.where("segment IS NOT NULL").withColumn("origin", F.coalesce("origin", "id"))
@@ -247,7 +258,12 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
     split = split.groupBy("origin").agg(first("kind"), first("page_id"), first("refers"), first("payload_digest"), F.max("total").alias("total"), parts)
     whole = raw.where("segment IS NULL").union(split.mapInArrow(lambda it: _join(it, payloads), _COLUMNS))
     whole = whole.select("id", "kind", "page_id", "refers", "payload_bytes", "payload_digest", *(["data"] if payloads else []))
-    seen = whole.where("kind = 'response'").select(F.col("id").alias("at"), F.col("page_id").alias("to"), F.col("payload_bytes").alias("n"))
-    seen = seen.join(whole.where("kind = 'revisit'").select("refers").distinct(), F.col("at") == F.col("refers"), "left_semi")
-    out = whole.join(seen, F.col("refers") == F.col("at"), "left")
-    return out.select("page_id", F.coalesce("payload_bytes", "n").alias("payload_bytes"), "payload_digest", F.col("kind").alias("record_type"), F.col("to").alias("refers_to"), *([F.col("data").alias("payload")] if payloads else []))
+    whole = cut(whole, "whole")
+    discard(raw)
+    wanted = whole.where("kind = 'revisit'").groupBy("refers").agg(F.count("*").alias("times"))
+    seen = whole.where("kind = 'response'").select(F.col("id").alias("refers"), F.col("page_id").alias("to"), F.col("payload_bytes").alias("n"))
+    seen = cut(seen.join(wanted, "refers"), "seen")
+    again = spread_join(whole.where("kind <> 'response'").drop("payload_bytes"), seen, ["refers"], "times", "left").withColumnRenamed("n", "payload_bytes")
+    first = whole.where("kind = 'response'").withColumn("to", F.lit(None).cast("long"))
+    out = first.unionByName(again)
+    return out.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("to").alias("refers_to"), *([F.col("data").alias("payload")] if payloads else []))
