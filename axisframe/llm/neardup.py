@@ -253,12 +253,6 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = THRESH
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame, words: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose component another row represents; columns stay as they are."""
-    gone = near_duplicates(docs.select("doc_id", "text"), words, percent).where("NOT kept").select(F.col("doc_id").alias("neardup_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["neardup_gone_id"], "left_anti")
-
-
 def one_of_each(docs: DataFrame, words: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
     """``docs`` with exactly one row of each component, one with its smallest doc_id; columns stay as they are.
 
