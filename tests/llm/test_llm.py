@@ -130,7 +130,6 @@ def test_near_duplicates_of_odd_rows(odd, none):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == odd.count() and all(r.kept for r in got if r.doc_id in (1, 2, 3, 4, 9))
     assert {(r.doc_id, r.component_id) for r in got if r.doc_id in (5, None)} == {(5, 5), (None, 5)}
-    assert neardup.keep_one(odd).columns == odd.columns and neardup.keep_one(odd).count() == odd.count()
     assert neardup.near_duplicates(none).count() == 0
 
 
@@ -347,6 +346,44 @@ def test_forward_backward_matches_enumeration():
     assert np.allclose(p, want) and np.allclose(pairs, both)
 
 
+def plain_chain(e, steps):
+    """Posteriors of one chain by the textbook recursions, in logarithms."""
+    n, k = e.shape
+    f, b = np.zeros((n, k)), np.zeros((n, k))
+    f[0] = e[0]
+    for t in range(1, n):
+        f[t] = e[t] + np.logaddexp.reduce(f[t - 1][:, None] + steps, axis=0)
+    for t in range(n - 2, -1, -1):
+        b[t] = np.logaddexp.reduce(steps + (e[t + 1] + b[t + 1])[None], axis=1)
+    p = f + b
+    return np.exp(p - np.logaddexp.reduce(p, axis=1)[:, None])
+
+
+def test_chains_are_never_cut():
+    """Blocks of any size give the posteriors of whole chains, and a text in parts those of the text."""
+    rng = np.random.default_rng(2)
+    e, steps = rng.normal(size=(1200, 4)) * 2, rng.normal(size=(4, 4)) * 2
+    chains = np.array([0, 1, 700, 703, 1200])
+    want = np.concatenate([plain_chain(e[a:b], steps) for a, b in zip(chains[:-1], chains[1:], strict=True)])
+    whole, pairs = langid.marginals(e, chains, steps, pairs=True, size=10_000)
+    assert np.allclose(whole, want)
+    for size in (1, 7, 256):
+        p, q = langid.marginals(e, chains, steps, pairs=True, size=size)
+        assert np.allclose(p, want) and np.allclose(q, pairs)
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["ka", "ki", "tom", "über", "schön"]) for _ in range(600)) for _ in range(4)]
+    lexicon = np.zeros((2, langid.LEXICON), np.float32)
+    field = langid.train_field([t.replace("ü", "y") for t in texts[:2]] + ["eau oir " * 300] * 2, ["a", "b"], ["a", "a", "b", "b"], lexicon)
+    text = pa.array([texts[3] + "\n" + "eau oir " * 200])
+    lang, score = langid.label_texts(text, field)
+    for most in (50, 777):
+        got = langid.label_texts(text, field, most)
+        assert got[0] == lang and np.allclose(got[1], score)
+    f = langid.Features(text)
+    p = plain_chain(field.emissions(f).astype(float), field.steps)[f.lettered].mean(0)
+    assert lang == [field.langs[p.argmax()]] and np.isclose(score[0], p.max())
+
+
 def test_language_of_odd_rows(odd, none):
     got = langid.languages(odd).collect()
     assert len(got) == odd.count() and {r.lang_pred for r in got if r.doc_id in (1, 2, 3, 8, 9)} == {"und"}
@@ -376,6 +413,27 @@ def test_quality_statistics_match_plain_ones():
     assert np.allclose(x[0, quality.NAMES.index("share_shout")] ** 2, 2 / len(texts[0])) and not x[1].any() and not x[2].any()
 
 
+def test_discriminant_matches_plain_densities(spark):
+    """Scores from the sums of all rows equal those of densities that are worked out directly."""
+    rng = np.random.default_rng(6)
+    p = len(quality.NAMES)
+    x = np.concatenate([rng.normal(size=(80, p)), rng.normal(size=(60, p)) * 1.5 + 0.4])
+    y = np.array([0] * 80 + [1] * 60)
+    train = spark.createDataFrame([(int(k), [float(v) for v in row]) for k, row in zip(y, x, strict=True)], "quality int, stats array<double>").repartition(3)
+    model = quality.fit(train)
+    own = [np.cov(x[y == k].T, bias=True) for k in (0, 1)]
+    pooled = (own[0] * 80 + own[1] * 60) / 140
+    logs = []
+    for k, n in ((0, 80), (1, 60)):
+        s = ((1 - quality.POOLED) * n * own[k] + quality.POOLED * 140 * pooled) / ((1 - quality.POOLED) * n + quality.POOLED * 140)
+        s = (1 - quality.DIAGONAL) * s + quality.DIAGONAL * np.diag(np.diag(s)) + 1e-6 * np.eye(p)
+        d = x - x[y == k].mean(0)
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) - 0.5 * np.linalg.slogdet(s)[1])
+    assert np.allclose(model.difference(x), logs[1] - logs[0])
+    t = model.slope * np.clip(logs[1] - logs[0], -quality.REACH, quality.REACH) + model.offset
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-t))) and model.slope > 0 and abs(model.score(x).mean() - y.mean()) < 0.02
+
+
 def test_quality_of_odd_rows(odd, none, spark):
     labels = spark.createDataFrame([(4, 1), (7, 0)], "doc_id long, quality int")
     assert quality.quality_scores(odd, labels).count() == odd.count() and quality.quality_scores(none, labels).count() == 0
@@ -479,6 +537,42 @@ def test_near_vectors_match_brute_force(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0 and len(got) == len(rows) + len(bad)
 
 
+def test_near_vectors_of_every_dimension(spark):
+    """Vectors link within their dimension, however rare it is, and never across."""
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(40)]
+    rows += [(100, [1.0, 2.0]), (101, [1.0, 2.0]), (102, [1.0, 2.001]), (103, [1.0, 2.0, 0.0]), (200, rng.normal(size=130).tolist())]
+    rows += [(201, [*rows[-1][1][:-1], 0.0]), (300, [5.0]), (301, [2.0]), (302, [-1.0])]
+    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for i, v in rows:
+        near = [j for j, w in rows if j != i and len(w) == len(v) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.9]
+        assert got[i].n_links == len(near), i
+    assert [got[i].component_id for i in (100, 101, 102, 200, 201, 300, 301, 302)] == [100, 100, 100, 200, 200, 300, 300, 302]
+
+
+def test_no_link_lies_below_the_threshold(spark):
+    """Many pairs just below and just above: every accepted pair has its exact product."""
+    rng = np.random.default_rng(8)
+    base = np.eye(64)[0]
+    rows = []
+    for k in range(300):
+        side = rng.normal(size=64)
+        side[0] = 0
+        side /= np.linalg.norm(side)
+        c = 0.9 + (1e-9 if k % 2 else -1e-9)
+        rows.append((k + 1, (c * base + math.sqrt(1 - c * c) * side).tolist()))
+    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame([(0, base.tolist()), *rows], "vec_id long, embedding array<double>")).collect()}
+    x = np.array([base, *[v for _, v in rows]])
+    s = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T >= 0.9
+    np.fill_diagonal(s, False)
+    assert all(got[k].n_links == int(s[k].sum()) for k in range(301)) and got[0].n_links == 150
+
+
+def test_tables_are_planned_for_shared_signs():
+    assert vectors.missed(14, 145, 1 - math.acos(0.9) / math.pi, 1024) <= 1e-6 < vectors.missed(14, 144, 1 - math.acos(0.9) / math.pi, 1024) * 1.2
+    assert 1e-5 < vectors.missed(14, 130, 1 - math.acos(0.9) / math.pi, 256) < 1e-3
+
+
 def test_near_vectors_across_blocks(spark, monkeypatch):
     from axisframe.llm import pairblocks
 
@@ -541,6 +635,21 @@ def test_nearest_crosses_between_groups_and_copies(spark):
     assert hits >= 0.99 * 10 * len(by) and len(by) == len(range(0, len(x), 40))
 
 
+def test_nearest_of_thousands_of_copies_and_of_every_dimension(spark):
+    """Ties go to the smallest ids though a node and a beam hold fewer; dimensions are searched apart."""
+    rng = np.random.default_rng(14)
+    x = np.concatenate([rng.normal(size=(600, 8)), np.repeat(rng.normal(size=(1, 8)), 900, axis=0)])
+    order = rng.permutation(len(x))
+    rows = [(int(i), x[k].tolist()) for i, k in enumerate(order)] + [(5000 + i, [float(i), 1.0]) for i in range(15)]
+    got = collections.defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), lambda i: i % 100 == 0, shard=500, beam=60).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    copies = [i for i, k in enumerate(order) if k >= 600]
+    for q in [q for q in range(0, len(x), 100) if order[q] >= 600]:
+        assert [v for _, v, _ in sorted(got[q])] == [i for i in copies if i != q][:10]
+    assert [(v, s) for _, v, s in sorted(got[5000])] == [(5000 + i, float(i)) for i in range(1, 11)]
+
+
 def test_nearest_of_few_rows_gives_all(spark):
     df = spark.createDataFrame([(0, [0.0, 1.0]), (100, [1.0, 1.0]), (5, [2.0, 1.0]), (0, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(df, lambda i: i % 100 == 0).orderBy("query_id", "rank", "vec_id").collect()]
@@ -583,6 +692,59 @@ def test_mirrored_pages_keep_their_text(spark):
     assert got == {1: whole, 2: whole, 3: whole, 4: "\n".join([*story[:-1], "changed"]), 5: "Other", 6: whole, 7: whole}
 
 
+def plain_text(rows, k):
+    """What the page at a place in (host, path, page_id) order keeps, worked out over the whole list."""
+    pages = [(host, path, pagetext.parse(html)) for host, path, _, html in rows]
+    host, path, page = pages[k]
+    chars = lambda lines: sum(map(len, lines))
+    steps = lambda p: next((n for n, (x, y) in enumerate(zip(path.split("/"), p.split("/"), strict=False)) if x != y), min(path.count("/"), p.count("/")) + 1)
+    near = sorted(((-steps(pages[j][1]), abs(j - k), j > k, j) for j in range(max(0, k - pagetext.WINDOW), min(len(pages), k + pagetext.WINDOW + 1)) if j != k and pages[j][0] == host))
+    chosen = []
+    for *_, j in near:
+        a, b = set(page.lines), set(pages[j][2].lines)
+        if len(chosen) < pagetext.NEIGHBOURS and a - b and 5 * chars(a ^ b) >= chars(a | b) and all(b != set(c.lines) for c in chosen):
+            chosen.append(pages[j][2])
+    shared = collections.Counter()
+    for other in chosen:
+        table = [[0] * (len(other.lines) + 1) for _ in range(len(page.lines) + 1)]
+        for i in range(len(page.lines) - 1, -1, -1):
+            for j in range(len(other.lines) - 1, -1, -1):
+                table[i][j] = table[i + 1][j + 1] + 1 if page.lines[i] == other.lines[j] else max(table[i + 1][j], table[i][j + 1])
+        assert len(pagetext.aligned(page.lines, other.lines)) == table[0][0]
+        shared.update(pagetext.aligned(page.lines, other.lines))
+    marked = page.marked and any(page.article)
+    keep = lambda i: not page.outside[i] and (page.article[i] or not marked) and not (shared[i] == len(chosen) >= pagetext.ALL_OF if page.article[i] else 2 * shared[i] > len(chosen))
+    return "\n".join(line for i, line in enumerate(page.lines) if keep(i))
+
+
+def test_page_text_does_not_depend_on_where_parts_end(spark, monkeypatch):
+    """Against a plain version over the whole list, with parts of any size."""
+    rng = random.Random(15)
+    rows, page_id = [], 0
+    for host in ("a.x", "b.x"):
+        for section in range(3):
+            menu = [f"{host} menu {k}" for k in range(4)] + [f"section {section}"]
+            for _ in range(14):
+                page_id += 1
+                body = [f"line {rng.randrange(40)} of some story" for _ in range(rng.randrange(1, 7))]
+                inner = "".join(f"<p>{x}</p>" for x in body)
+                inner = f"<article>{inner}<p>Follow us</p></article>" if section == 1 else inner
+                copy = rows[-1][3] if rows and rng.random() < 0.15 and rows[-1][0] == host else None
+                rows.append((host, f"/s{section}/{rng.randrange(90):02}", page_id, copy or "<html><body>" + "".join(f"<div>{m}</div>" for m in menu) + inner + "<div>Imprint</div></body></html>"))
+    rows.sort()
+    want = {r[2]: plain_text(rows, k) for k, r in enumerate(rows)}
+    assert any("Follow us" not in want[r[2]] for r in rows if "Follow us" in r[3]) and all(want.values())
+    df = spark.createDataFrame([(i, f"http://{h}{p}", html) for h, p, i, html in rows], "page_id long, url string, html string").repartition(5)
+    for part in (20, 33, 1000):
+        monkeypatch.setattr(pagetext, "PART", part)
+        assert {r.page_id: r.text for r in pagetext.extract(df).collect()} == want
+
+
+def test_alignment_of_lines_that_repeat_very_often():
+    a, b = ["x", "y"] * 20_000, ["y", "x", "x"] * 12_000
+    assert len(pagetext.aligned(a, b)) > 30_000
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rng = random.Random(10)
     for _ in range(200):
@@ -596,6 +758,17 @@ def test_alignment_is_a_longest_common_subsequence():
         assert len(got) == best[-1][-1] and all(a[k] in it for k in sorted(got))
 
 
+def test_pipeline_stages_of_odd_and_empty_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    for docs in (odd.drop("mix_size"), none):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert name == "tokens" or out.columns == docs.columns
+            rows = out.collect()
+            assert rows or docs is none
+
+
 def test_pipeline_stages_hold_together(spark, tmp_path):
     import corpus_pipeline
 
