@@ -26,16 +26,24 @@ LONG = 6
 
 
 def shards(rows: DataFrame, ident: str, vector: str, size: int = SHARD) -> DataFrame:
-    """(shard, node, place, id, v): usable vectors of the commonest dimension, dealt by a hash into shards of about ``size``
-    rows; equal vectors of a shard are one node, places are a row's own."""
+    """(shard, first, many, node, place, id, v): usable vectors, those of each dimension dealt by a hash into shards of about
+    ``size`` rows, which are numbered from ``first`` on; equal vectors of a shard are one node, places are a
+    row's own."""
     v = F.col(vector).cast("array<double>")
-    clean = rows.select(F.col(ident).alias("id"), v.alias("v")).where(usable(F.col("v")))
-    dims = clean.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim, n = dims[0] if dims else (0, 0)
-    deal = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(max(1, -(-n // size)))).cast("int")
-    clean = clean.where(F.size("v") == dim).withColumn("shard", deal)
+    clean = cut(rows.select(F.col(ident).alias("id"), v.alias("v")).where(usable(F.col("v"))), "vectors")
+    dims = clean.groupBy(F.size("v").alias("dim")).count().collect()  # no more rows than the longest vector is long
+    plan, at = [], 0
+    for dim, n in sorted(dims):
+        many = max(1, -(-n // size))
+        plan.append((dim, at, many))
+        at += many
+    own = clean.sparkSession.createDataFrame(plan, "dim int, first int, many int")
+    # Rows that repeat an id and a vector are dealt apart too.
+    deal = F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.col("many")).cast("int")
+    dealt = cut(clean.withColumn("dim", F.size("v")).join(F.broadcast(own), "dim").withColumn("shard", F.col("first") + deal).drop("dim"), "dealt")
+    discard(clean)
     order = Window.partitionBy("shard")
-    return clean.select("shard", (F.dense_rank().over(order.orderBy("v")) - 1).alias("node"), (F.row_number().over(order.orderBy("v", "id")) - 1).alias("place"), "id", "v")
+    return dealt.select("shard", "first", "many", (F.dense_rank().over(order.orderBy("v")) - 1).alias("node"), (F.row_number().over(order.orderBy("v", "id")) - 1).alias("place"), "id", "v")
 
 
 def _random_graph(nodes: DataFrame, k: int) -> DataFrame:
@@ -135,6 +143,7 @@ def _search(left: pa.Table, right: pa.Table, top: int, beam: int) -> pa.Table:
         x = full.astype(np.float32)
         square = (x * x).sum(1)
         members = left.column("ids").combine_chunks().take(pa.array(order)).to_pylist()
+        least = np.array([x[0] if x[0] is not None else np.iinfo(np.int64).max for x in members], np.int64)
         c = left.column("around").combine_chunks().take(pa.array(order))
         at, flat = c.offsets.to_numpy(), c.flatten().to_numpy()
         at = at - at[0]
@@ -153,7 +162,7 @@ def _search(left: pa.Table, right: pa.Table, top: int, beam: int) -> pa.Table:
             d = square[pool] - 2 * (x[pool] @ y)
             opened = np.zeros(len(pool), bool)
             while True:
-                near = np.argsort(d, kind="stable")[:beam]
+                near = np.lexsort((least[pool], d))[:beam]
                 pool, d, opened = pool[near], d[near], opened[near]
                 todo = np.flatnonzero(~opened)[:OPEN]
                 if not len(todo):
@@ -164,7 +173,8 @@ def _search(left: pa.Table, right: pa.Table, top: int, beam: int) -> pa.Table:
                 seen[new] = True
                 pool, d = np.concatenate([pool, new]), np.concatenate([d, square[new] - 2 * (x[new] @ y)])
                 opened = np.concatenate([opened, np.zeros(len(new), bool)])
-            best = pool[: 2 * top + 20]
+            # All that rounding could put among the nearest, and ties of the last of them.
+            best = pool[d <= d[min(top, len(d) - 1)] + 1e-4 * (np.abs(d[0]) + (y * y).sum())]
             exact = np.sqrt(((full[best] - q[r]) ** 2).sum(1))
             query, rows = right.column("query")[r].as_py(), []
             for p, e in zip(best.tolist(), exact.tolist(), strict=True):
@@ -184,8 +194,8 @@ def nearest(rows: DataFrame, is_query, top: int = 10, ident: str = "vec_id", vec
     """(query_id, rank, vec_id, score): the ``top`` nearest found to each row that meets the condition ``is_query``.
 
     Score is the Euclidean distance in double precision; ties go to the smaller id; a query's own row is no candidate, other
-    rows with its id are. Equal vectors of a shard are one node, which gives its smallest ids. Null, empty, zero and partly null or non-finite vectors and those of an
-    uncommon dimension take no part. Every shard's graph is searched for every query, queries in blocks, and
+    rows with its id are. Equal vectors of a shard are one node, which gives its smallest ids. Null, empty, zero and partly
+    null or non-finite vectors take no part, and vectors are near those of their own dimension only. Every shard's graph is searched for every query, queries in blocks, and
     the shards' best are merged; shards smaller than the beam are searched whole, so that few rows give all candidates. An
     empty table gives no rows.
     """
@@ -196,13 +206,12 @@ def nearest(rows: DataFrame, is_query, top: int = 10, ident: str = "vec_id", vec
     graph = descend(nodes, k)
     around = _lists(graph, 2 * k)
     ready = nodes.join(around, ["shard", "node"], "left").withColumn("around", F.coalesce("around", F.array().cast("array<int>")))
-    queries = own.where(is_query(F.col("id"))).select(F.col("id").alias("query"), F.col("shard").alias("home"), "node", "place", "v")
+    queries = own.where(is_query(F.col("id"))).select(F.col("id").alias("query"), F.col("shard").alias("home"), "first", "many", "node", "place", "v")
     queries = cut(queries, "queries")
     blocks = max(1, -(-queries.count() // BLOCK))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("query", "home", "place"), F.lit(blocks)).cast("int"))
     here = cut(ready, "ready").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    n = (nodes.agg(F.max("shard")).first()[0] or 0) + 1
-    asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    asked = queries.withColumn("shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("many") - 1))).drop("first", "many")
     found = here.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(lambda a, b: _search(a, b, top, beam), "query_id long, place long, vec_id long, score double")
     order = Window.partitionBy("query_id", "place").orderBy("score", F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
