@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, predicate
+from ..sources import files
 from ..sources.store import Categories, Frame
 
 #: Positions that are numbered anew in one group.
@@ -58,7 +59,7 @@ def pruned(rows: DataFrame, categories: dict[str, Categories]) -> dict[str, Cate
     """Categories without the labels that no row has, in one pass; at most as many labels come back as there are."""
     if not categories:
         return {}
-    used = rows.agg(*[F.collect_set(c).alias(c) for c in categories]).first().asDict()
+    used = rows.agg(*[F.collect_set(F.when(codes(F.col(f"`{c}`"), k.labels) >= 0, F.col(f"`{c}`"))).alias(c) for c, k in categories.items()]).first().asDict()
     return {c: Categories(tuple(x for x in k.labels if x in set(used[c])), k.ordered) for c, k in categories.items()}
 
 
@@ -127,9 +128,47 @@ def all_names(axes: Sequence[DataFrame], lengths: Sequence[int]) -> DataFrame:
     every = full[0].select("name")
     for a in full[1:]:
         every = every.union(a.select("name"))
-    # Ranks of one axis of names; variables, not observations.
-    every = every.distinct().withColumn("_bucket", F.lit(0))
-    return every.select("name", (F.row_number().over(Window.partitionBy("_bucket").orderBy("name")) - 1).cast("long").alias("pos"))
+    return ranked(every.distinct())
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """(name, pos) of distinct names in their order: ranges are sorted apart and written with the place of each name in its
+    range, and what the ranges before it hold is added."""
+    spark = rows.sparkSession
+    path = files.scratch(spark, "names")
+    rows.select("name").repartitionByRange("name").sortWithinPartitions("name").withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    sizes, start = sorted(placed.groupBy("_part").count().collect()), 0  # one row a range
+    before = []
+    for part, n in sizes:
+        before.append((part, start))
+        start += n
+    own = spark.createDataFrame(before, "_part long, _start long")
+    return placed.join(F.broadcast(own), "_part").select("name", (F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("pos"))
+
+
+def reordered(frame: Frame, wanted: DataFrame) -> Frame:
+    """A frame's rows put in the order of ``wanted`` (pos, name); a name that it lacks or has twice is refused."""
+    meets = wanted.select("pos", "name").join(frame.data.withColumnRenamed("pos", "_own"), "name", "left")
+    n, have, distinct = meets.agg(F.count("*"), F.count("_own"), F.count_distinct("pos")).first()
+    if have < n:
+        raise ValueError(f"{n - have} names are without a row")
+    if distinct < n:
+        raise ValueError("a name has more than one row")
+    return Frame(meets.drop("_own").select(*frame.data.columns), frame.categories)
+
+
+def few_labels(rows: DataFrame, column: str, most: int) -> list | None:
+    """The distinct labels of a column in natural order, None if there are more than ``most``; no more than that many are
+    looked for."""
+    found = [r[0] for r in rows.where(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect()]
+    return names.natural(found) if len(found) <= most else None
+
+
+def null_counts(rows: DataFrame) -> dict[str, int]:
+    """Missing entries of every column, in one aggregate."""
+    r = rows.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in rows.columns]).first()
+    return r.asDict() if r is not None else {}
 
 
 def repeated_names(frame: DataFrame) -> DataFrame:

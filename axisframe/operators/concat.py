@@ -160,12 +160,7 @@ def choose(present: Sequence[bool], equal, strategy: str | None) -> int | None:
     return have[0] if all(equal(have[0], k) for k in have[1:]) else None
 
 
-def _same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two relations have the same rows: counts and hashes first, then an exact difference both ways."""
-    if [f.dataType for f in a.schema] != [f.dataType for f in b.schema]:
-        return False
-    mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in d.columns]).cast("decimal(38,0)"))).first()
-    return mark(a) == mark(b) and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+_same_rows = matrix.same
 
 
 def merge_uns(trees: Sequence[dict], strategy: str | None) -> dict:
@@ -288,9 +283,6 @@ def _stacked(ms: Sequence[Matrix], offsets: Sequence[int], shape: tuple[int, ...
             continue
         data = m.data
         if maps is not None:
-            order = maps[k].agg(F.map_from_entries(F.collect_list(F.struct("new_pos", F.col("pos").cast("int")))).alias("_from"))
-            places = F.sequence(F.lit(0).cast("long"), F.lit(shape[1] - 1).cast("long"))
-            values = F.transform(places, lambda j: F.coalesce(F.get("values", F.try_element_at("_from", j)), F.lit(fill))) if shape[1] else F.array()
-            data = data.crossJoin(F.broadcast(order)).withColumn("values", values)  # one row
+            data = matrix.columns_taken(data, maps[k], shape[1], kind, fill)
         parts.append(data.select((F.col("i") + at).alias("i"), F.col("values").cast(f"array<{kind}>").alias("values")))
     return Matrix(reduce(DataFrame.unionByName, parts), shape, dtype, ms[0].layout)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import files
 from ..sources.store import LAYOUTS, SPARK_TYPES, Matrix
 from .axis import renumbered
 
@@ -22,6 +26,9 @@ RANGES = {
 _WIDTH = {"float16": 2, "float32": 4, "float64": 8, "bool": 1, **{f"{s}int{b}": b // 8 for s in ("", "u") for b in (8, 16, 32, 64)}}
 #: A change of layout that makes a matrix more than so many times as large is refused unless forced.
 GROWTH = 4
+#: Columns of a dense matrix whose places are broadcast at most, and cells that are filled at a time.
+WIDE = 1 << 20
+CELLS = 1 << 20
 
 
 def summed(entries: DataFrame) -> DataFrame:
@@ -56,11 +63,29 @@ def taken(m: Matrix, rows: DataFrame | None, columns: DataFrame | None, shape: t
     if columns is not None and m.sparse:
         data = data.join(columns, F.col("j") == F.col("pos")).drop("j", "pos").withColumnRenamed("new_pos", "j")
     elif columns is not None:
-        order = columns.agg(F.transform(F.array_sort(F.collect_list(F.struct("new_pos", "pos"))), lambda s: s["pos"].cast("int")).alias("_order"))
-        data = data.crossJoin(F.broadcast(order)).withColumn("values", F.transform("_order", lambda p: F.get("values", p))).drop("_order")
+        data = columns_taken(data, columns, shape[1], SPARK_TYPES[m.dtype])
     return replace(m, data=data.select(*(("i", "j", "v") if m.sparse else ("i", "values"))), shape=shape)
 
 
+def columns_taken(data: DataFrame, mapping: DataFrame, width: int, kind: str, fill: float | None = None) -> DataFrame:
+    """Dense rows (i, values) with the mapped columns (pos, new_pos) in their new places, others holding ``fill``.
+
+    Up to WIDE columns the places are one array, which is broadcast, and a row is taken in one pass; beyond that rows are
+    taken apart and meet the map in a join.
+    """
+    value = F.lit(fill).cast(kind) if fill is not None else F.lit(None).cast(kind)
+    if width <= WIDE:
+        found = mapping.where((F.col("new_pos") >= 0) & (F.col("new_pos") < width)).select("new_pos", "pos").toArrow()
+        places = np.full(width, -1, np.int32)
+        places[found.column(0).to_numpy()] = found.column(1).to_numpy()
+        one = data.sparkSession.createDataFrame(pa.table({"_order": pa.array([places.tolist()], pa.list_(pa.int32()))}))
+        taken_value = lambda p: F.when(p >= 0, F.get("values", p).cast(kind)).otherwise(value)
+        return data.crossJoin(F.broadcast(one)).select("i", F.transform("_order", taken_value).alias("values"))  # one row of WIDE numbers at most
+    cells = data.select("i", F.posexplode("values").alias("pos", "v")).join(mapping, "pos").select("i", F.col("new_pos").alias("j"), "v")
+    empty = data.select("i", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("j"))
+    return empty.join(cells, ["i", "j"], "left").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", F.coalesce(F.col("v").cast(kind), value).alias("v")))).alias("c")).select("i", F.transform("c", lambda c: c["v"]).alias("values"))
+
+
 def sparsified(m: Matrix, layout: str = "csr", keep_zeros: bool = False) -> Matrix:
     """A dense matrix as entries: those that are not zero (NaN is not), or all."""
     if m.sparse:
@@ -73,17 +98,56 @@ def densified(m: Matrix) -> Matrix:
     """A sparse matrix as rows of values; entries of one coordinate add up, rows without entries are zeros."""
     if not m.sparse:
         return m
-    kind = SPARK_TYPES[m.dtype]
-    zero = F.lit(False) if kind == "boolean" else F.lit(0).cast(kind)
-    entries = m.data if kind == "boolean" else summed(m.data).withColumn("v", F.col("v").cast(kind))
-    cells = F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("cells")
-    packed = entries.groupBy("i").agg(cells)
-    spark = m.data.sparkSession
-    width = m.shape[1]
-    values = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")), lambda j: F.coalesce(F.try_element_at("cells", j), zero)) if width else F.array().cast(f"array<{kind}>")
-    filled = F.when(F.col("cells").isNull(), F.array_repeat(zero, width)).otherwise(values)
-    rows = spark.range(m.shape[0]).select(F.col("id").alias("i")).join(packed, "i", "left")
-    return replace(m, data=rows.select("i", filled.alias("values")), layout="dense")
+    kind, width = SPARK_TYPES[m.dtype], m.shape[1]
+    files.ship(m.data.sparkSession)
+    # A mark for every row, so that those without entries are there too.
+    marks = m.data.sparkSession.range(m.shape[0]).select(F.col("id").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(None).cast(kind).alias("v"))
+    rows = m.data.select("i", F.col("j").cast("long").alias("j"), F.col("v").cast(kind).alias("v")).union(marks).repartition("i").sortWithinPartitions("i", "j")
+    return replace(m, data=rows.mapInArrow(lambda it: _filled(it, width, kind), f"i long, values array<{kind}>"), layout="dense")
+
+
+def _filled(batches, width: int, kind: str):
+    """Rows of values from entries that come sorted by row, each row begun by a mark; a bounded number of cells is held."""
+    held: list[pa.RecordBatch] = []
+    size, most = 0, max(1, CELLS // max(1, width))
+
+    def flush(rows: pa.Table):
+        i, j = rows.column("i").to_numpy(), rows.column("j").to_numpy()
+        mark = j < 0
+        own = np.cumsum(mark) - 1
+        n = int(mark.sum())
+        at = own[~mark] * width + j[~mark]
+        v = rows.column("v").filter(pa.array(~mark))
+        if kind.startswith("decimal"):
+            x = np.zeros(n * width, object)
+            np.add.at(x, at, np.array([int(k) for k in v.to_pylist()], object))
+            flat = pa.array(x.tolist(), pa.decimal128(20, 0))
+        elif kind == "boolean":
+            x = np.zeros(n * width, bool)
+            np.logical_or.at(x, at, np.array(v.to_pylist(), bool))
+            flat = pa.array(x)
+        else:
+            # Sums are formed wide and narrowed once, as the sum of entries is.
+            wide = np.float64 if kind in ("float", "double") else np.int64
+            x = np.bincount(at, v.to_numpy().astype(np.float64), n * width) if wide is np.float64 else np.zeros(n * width, np.int64)
+            if wide is np.int64:
+                np.add.at(x, at, v.to_numpy().astype(np.int64))
+            flat = pa.array(x.astype({"float": np.float32, "tinyint": np.int8, "smallint": np.int16, "int": np.int32}.get(kind, wide)))
+        off = pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)) if width else pa.array(np.zeros(n + 1, np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(i[mark]), pa.ListArray.from_arrays(off, flat)], names=["i", "values"])
+
+    for batch in batches:
+        at = 0
+        marks = np.flatnonzero(batch.column(1).to_numpy() < 0)
+        for k in marks.tolist():
+            if size == most:
+                held.append(batch.slice(at, k - at))
+                yield flush(pa.Table.from_batches(held))
+                held, at, size = [], k, 0
+            size += 1
+        held.append(batch.slice(at))
+    if size:
+        yield flush(pa.Table.from_batches(held))
 
 
 def packed(m: Matrix) -> DataFrame:
@@ -245,5 +309,55 @@ def check_entries(entries: DataFrame, shape: tuple[int, int], name: str = "matri
 
 
 def digest(entries: DataFrame):
-    """(count, sum of hashes) of entries, whatever their order: equal matrices have equal ones."""
-    return entries.agg(F.count("*"), F.sum(F.xxhash64("i", "j", F.col("v").cast("double")).cast("decimal(38,0)"))).first()
+    """Count and two sums of hashes of entries, whatever their order; values are hashed in their own type, so that whole
+    numbers which one float stands for differ. Equal matrices have equal ones; ``same`` tells what has."""
+    v = F.col("v")
+    if dict(entries.dtypes)["v"] in ("float", "double"):
+        v = v + F.lit(0.0).cast(dict(entries.dtypes)["v"])  # one zero
+    sums = [F.sum(F.xxhash64(F.lit(seed), F.col("i").cast("long"), F.col("j").cast("long"), v).cast("decimal(38,0)")) for seed in (1, 2)]
+    return entries.agg(F.count("*"), *sums).first()
+
+
+def same(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two relations have the same columns, types and rows: counts and hashes first, then an exact difference."""
+    if a.dtypes != b.dtypes:
+        return False
+    columns = [F.col(f"`{c}`") for c in a.columns]
+    mark = lambda d: d.agg(F.count("*"), *[F.sum(F.xxhash64(F.lit(s), *columns).cast("decimal(38,0)")) for s in (1, 2)]).first()
+    return mark(a) == mark(b) and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def ascending(rows: DataFrame, order: str, key: str, strictly: bool = True) -> bool:
+    """Whether ``key`` rises along ``order``: within blocks of positions, and from each block to the next."""
+    at = F.floor(F.col(order) / 65_536)
+    before = F.lag(key).over(Window.partitionBy("_block").orderBy(order))
+    falls = before >= F.col(key) if strictly else before > F.col(key)
+    marked = rows.withColumn("_block", at).withColumn("_falls", falls)
+    blocks = marked.groupBy("_block").agg(F.count_if("_falls").alias("n"), F.min_by(key, order).alias("a"), F.max_by(key, order).alias("b"))
+    last = F.lag("b").over(Window.orderBy("_block"))  # one row a block
+    bad = last >= F.col("a") if strictly else last > F.col("a")
+    return not blocks.withColumn("_bad", bad).agg(F.sum("n") + F.count_if("_bad")).first()[0]
+
+
+def grouped(rows: DataFrame, order: str, key: str) -> bool:
+    """Whether equal keys stand together along ``order``: no key begins a run twice."""
+    before = F.lag(key).over(Window.partitionBy("_block").orderBy(order))
+    marked = rows.withColumn("_block", F.floor(F.col(order) / 65_536))
+    starts = marked.withColumn("_new", ~F.col(key).eqNullSafe(before))
+    blocks = marked.groupBy("_block").agg(F.min_by(key, order).alias("a"), F.max_by(key, order).alias("b"))
+    joins = blocks.withColumn("_last", F.lag("b").over(Window.orderBy("_block"))).where(F.col("_last").eqNullSafe(F.col("a")))
+    runs = starts.where("_new").count() - joins.where("_block > 0").count()
+    return runs == rows.select(key).distinct().count()
+
+
+def check_pointers(starts: DataFrame, n: int, what: str = "matrix") -> None:
+    """Refuse pointers (pos, start) that do not begin at 0, fall, or end elsewhere than at ``n``."""
+    r = starts.agg(F.min_by("start", "pos"), F.max_by("start", "pos")).first()
+    if r[0] != 0 or r[1] != n or not ascending(starts, "pos", "start", strictly=False):
+        raise ValueError(f"{what}: its row pointers do not run from 0 up to {n}")
+
+
+def index_dtypes(dtypes: Sequence[str], largest: int) -> str:
+    """The index dtype of a concatenation: the widest of its inputs, widened only if it cannot hold ``largest``."""
+    wanted = "int64" if "int64" in dtypes else "int32"
+    return "int64" if largest >= 1 << 31 else wanted

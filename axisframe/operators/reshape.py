@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..sources import files
-from ..sources.store import Frame, Matrix, Store, _save, axes_of, matrices
+from ..sources.store import MANIFEST, SPARK_TYPES, Categories, Frame, Matrix, Store, _save, axes_of, matrices
 from . import axis, matrix
 
 
@@ -130,17 +131,114 @@ def split_entries(store: Store, by: str, path: str = "X") -> tuple[list[Part], D
     return found, out
 
 
-def save_split(store: Store, by: str, folder: str, over: str = "obs", least: int = 0, replace_it: bool = False) -> DataFrame:
-    """Write a store per label under ``folder`` and return the list of them: id, column, value, path, n. All appear or none."""
+def save_split(store: Store, by: str, folder: str, over: str = "obs", least: int = 0, replace_it: bool = False, suffix: str = "") -> DataFrame:
+    """Write a store per label under ``folder`` and return the list of them: id, column, value, path, n. All appear or none.
+
+    Rows are routed once; each element is written in one pass, by part, and the parts' files are then moved to their stores.
+    A store with raw whose variables are split writes one store after the other.
+    """
     spark = store.spark
     rows = []
     with files.staged(spark, folder, replace_it) as new:
-        for k, (part, own) in enumerate(split(store, by, over, least)):
-            _save(own, f"{new}/{part.stem}", "zstd")
-            rows.append((k, by, part.label, f"{folder}/{part.stem}", part.rows))
+        if over == "var" and store.raw is not None:
+            for k, (part, own) in enumerate(split(store, by, over, least)):
+                _save(own, f"{new}/{part.stem}{suffix}", "zstd")
+                rows.append((k, by, part.label, f"{folder}/{part.stem}{suffix}", part.rows))
+            return spark.createDataFrame(rows, "id int, column string, value string, path string, n long")
+        found, routed = route(store, by, over, least)
+        at = files.scratch(spark, "route")
+        routed.write.parquet(at)
+        routed = spark.read.parquet(at)
+        other = "var" if over == "obs" else "obs"
+        n_other = getattr(store, other).data.count()
+        manifests = [_routed(store, f"{new}/.parts", found, routed, over, other, n_other)]
+        if store.raw is not None:
+            raw = replace(store.raw, obs=store.obs)
+            manifests.append(_routed(raw, f"{new}/.parts/raw", found, routed, over, other, raw.var.data.count(), frames=("var",)))
+        for k, part in enumerate(found):
+            target = f"{new}/{part.stem}{suffix}"
+            for root, inner in ((f"{new}/.parts", target), (f"{new}/.parts/raw", f"{target}/raw"))[: len(manifests)]:
+                for name in manifests[0 if inner == target else 1]["elements"]:
+                    source = f"{root}/{name}/part={k}"
+                    if files.exists(spark, source):
+                        files.move(spark, source, f"{inner}/{name}")
+            for m, inner in zip(manifests, (target, f"{target}/raw"), strict=False):
+                files.write_bytes(spark, f"{inner}/{MANIFEST}", json.dumps(m["of"](k, part, len(manifests) > 1 and inner == target), allow_nan=True).encode())
+            rows.append((k, by, part.label, f"{folder}/{part.stem}{suffix}", part.rows))
+        files.delete(spark, f"{new}/.parts")
+        files.delete(spark, at)
     return spark.createDataFrame(rows, "id int, column string, value string, path string, n long")
 
 
+def _routed(store: Store, root: str, found: Sequence[Part], routed: DataFrame, over: str, other: str, n_other: int, frames: tuple[str, ...] = ("obs", "var")) -> dict:
+    """Write every element of a store once, by part, under ``root``; what the parts' manifests say."""
+    spark = store.spark
+    ids = spark.createDataFrame([(k,) for k in range(len(found))], "part int")
+    written = []
+
+    def put(rows: DataFrame, name: str) -> None:
+        # No part is lost that has no rows: its files would not exist.
+        rows.write.option("compression", "zstd").partitionBy("part").parquet(f"{root}/{name}")
+        for k in range(len(found)):
+            if not files.exists(spark, f"{root}/{name}/part={k}"):
+                rows.drop("part").limit(0).write.parquet(f"{root}/{name}/part={k}")
+        written.append(name)
+
+    def frame_rows(f: Frame, split_here: bool) -> DataFrame:
+        return f.data.join(routed, "pos").drop("pos").withColumnRenamed("new_pos", "pos").select("part", *f.data.columns) if split_here else f.data.crossJoin(F.broadcast(ids))  # as many rows as parts
+
+    every = [(n, getattr(store, n), n == over) for n in frames] + [(p, f, axes_of(p)[0] == over) for p, f in store.frames.items()]
+    categories: dict[str, dict[int, dict]] = {}
+    for name, f, here in every:
+        rows = frame_rows(f, here)
+        put(rows, name)
+        if f.categories:
+            used = (rows if here else rows.where("part = 0")).groupBy("part").agg(*[F.collect_set(f"`{c}`").alias(c) for c in f.categories]).collect()
+            per = {r["part"]: {c: {"labels": [x for x in k.labels if x in set(r[c])], "ordered": k.ordered} for c, k in f.categories.items()} for r in used}
+            categories[name] = per if here else dict.fromkeys(range(len(found)), per.get(0, {}))
+    shapes: dict[str, tuple] = {}
+    for path, m in store.matrices.items():
+        a, b = axes_of(path)
+        data = m.data
+        if a == over:
+            data = data.join(routed.select(F.col("pos").alias("i"), F.col("new_pos").alias("_i"), "part"), "i").drop("i").withColumnRenamed("_i", "i")
+        if b == over:
+            ends = routed.select(F.col("pos").alias("j"), F.col("new_pos").alias("_j"), F.col("part").alias("_part"))
+            if not m.sparse:
+                for k in range(len(found)):
+                    own = routed.where(F.col("part") == k).select("pos", "new_pos")
+                    one = matrix.columns_taken(m.data, own, found[k].rows, SPARK_TYPES[m.dtype]) if a != over else None
+                    one.write.option("compression", "zstd").parquet(f"{root}/{path}/part={k}")
+                written.append(path)
+                shapes[path] = (a, b, m)
+                continue
+            data = data.join(ends, "j").drop("j").withColumnRenamed("_j", "j")
+            data = data.where("part = _part").drop("_part") if a == over else data.withColumnRenamed("_part", "part")
+        if over not in (a, b):
+            data = data.crossJoin(F.broadcast(ids))
+        put(data.select("part", *(("i", "j", "v") if m.sparse else ("i", "values"))), path)
+        shapes[path] = (a, b, m)
+
+    def manifest(k: int, part: Part, raw: bool) -> dict:
+        side = {over: part.rows, other: n_other}
+        out = {"version": 1, "frames": {n: categories.get(n, {}).get(k, {}) for n, *_ in every}, "matrices": {}, "uns": _colours(store, categories, k)}
+        for path, (a, b, m) in shapes.items():
+            out["matrices"][path] = {"shape": [side[a], side[b] if b else m.shape[1], *m.shape[2:]], "dtype": m.dtype, "layout": m.layout}
+        return out | ({"raw": True} if raw else {})
+
+    return {"elements": written, "of": manifest}
+
+
+def _colours(store: Store, categories: dict, k: int) -> dict:
+    uns = dict(store.uns)
+    for a in ("obs", "var"):
+        for c, before in getattr(store, a).categories.items():
+            after = categories.get(a, {}).get(k, {}).get(c)
+            if isinstance(uns.get(f"{c}_colors"), list) and after is not None:
+                uns[f"{c}_colors"] = axis.prune_colors(uns[f"{c}_colors"], before, Categories(tuple(after["labels"]), after["ordered"]))
+    return uns
+
+
 def recast(store: Store, targets: Sequence[str] | None = None, dtype: str | None = None, layout: str | None = None, force: bool = False) -> Store:
     """Matrices in another dtype or layout; X alone without ``targets``, all of X, layers and raw with ("*",).
 

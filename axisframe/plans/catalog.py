@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, predicate, typing
 from ..operators import axis, concat, joins, matrix, reshape
-from ..sources.store import Frame, Matrix, Store
+from ..sources.store import Frame, Matrix, Store, describe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -209,15 +209,15 @@ def cast_float32(spark, sf_dir):
 
 @query(
     "densify_rows",
-    """SELECT o_orderkey AS i, p.k::INTEGER AS j, coalesce(e.v, 0) AS v FROM (SELECT o_orderkey FROM orders WHERE o_orderkey < 100) CROSS JOIN (SELECT unnest(range(8)) AS k) p
+    """SELECT o_orderkey AS i, p.k::INTEGER AS j, coalesce(e.v, 0) AS v FROM orders CROSS JOIN (SELECT unnest(range(8)) AS k) p
        LEFT JOIN (SELECT l_orderkey, l_partkey % 8 AS c, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2) e ON e.l_orderkey = o_orderkey AND e.c = p.k""",
 )
 def densify_rows(spark, sf_dir):
-    """A sparse matrix as dense rows: absent cells are zeros, rows without entries too."""
-    x = quantities(spark, sf_dir).data.where("i < 100").select("i", F.pmod("j", F.lit(8)).alias("j"), "v")
-    dense = matrix.densified(Matrix(x, (100, 8), "float64")).data
-    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
-    return dense.join(own, F.col("i") == F.col("key"), "left_semi").select("i", F.posexplode("values").alias("j", "v"))
+    """A sparse matrix as dense rows, all of them: absent cells are zeros, rows without entries too. Parts are folded into eight
+    columns."""
+    x = quantities(spark, sf_dir).data.select("i", F.pmod("j", F.lit(8)).alias("j"), "v")
+    dense = matrix.densified(Matrix(x, (table(spark, sf_dir, "orders").count(), 8), "float64")).data
+    return dense.select("i", F.posexplode("values").alias("j", "v"))
 
 
 @query("sparsify_embeddings", "SELECT vec_id AS i, (k - 1)::BIGINT AS j, e AS v FROM (SELECT vec_id, unnest(range(1, 65)) AS k, unnest(embedding) AS e FROM embeddings) WHERE e > 0.2")
@@ -467,23 +467,27 @@ def graph_remap(spark, sf_dir):
     return out.groupBy("i", F.col("label").alias("j")).agg(F.count("*").alias("v"))
 
 
-@query("view_manifest", "SELECT 'orders' AS axis, count(*)::BIGINT AS n FROM orders UNION ALL SELECT 'part', count(*) FROM part")
+@query("view_manifest", "SELECT 'obs' AS axis, count(*)::BIGINT AS n, 4::BIGINT AS columns FROM orders UNION ALL SELECT 'var', count(*), 5 FROM part")
 def view_manifest(spark, sf_dir):
-    """Axis lengths, which Parquet answers from its footers."""
-    n = [(name, table(spark, sf_dir, name).count()) for name in ("orders", "part")]
-    return spark.createDataFrame(n, "axis string, n long")
+    """What a store says of its axes; Parquet answers from its footers."""
+    found = [(e["path"], *e["shape"]) for e in describe(virtual(spark, sf_dir)) if e["path"] in ("obs", "var")]
+    return spark.createDataFrame(found, "axis string, n long, columns long")
 
 
 @query(
     "digest_equal",
-    "SELECT true AS same_order, false AS same_values",
+    """WITH x AS (SELECT l_orderkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), y AS (SELECT i, j, CASE WHEN i = 1 THEN v + 1 ELSE v END AS v FROM x)
+       SELECT (SELECT count(*) FROM (FROM x EXCEPT FROM x)) = 0 AS same_order, (SELECT count(*) FROM (FROM x EXCEPT FROM y)) = 0 AS same_values,
+       (SELECT max(9007199254740992 + i) = max(9007199254740992 + i + 1) FROM x) AS same_large""",
 )
 def digest_equal(spark, sf_dir):
-    """Content digests tell equal matrices from others whatever the order of their entries."""
+    """Content digests tell equal matrices from others whatever the order of their entries, also by whole numbers that one
+    float stands for."""
     x = matrix.summed(quantities(spark, sf_dir).data)
     a, b = matrix.digest(x), matrix.digest(x.orderBy("v"))
     c = matrix.digest(x.withColumn("v", F.when((F.col("i") == 1), F.col("v") + 1).otherwise(F.col("v"))))
-    return spark.createDataFrame([(a == b, a == c)], "same_order boolean, same_values boolean")
+    large = [matrix.digest(x.withColumn("v", F.lit(1 << 53) + F.col("i") + k)) for k in (0, 1)]
+    return spark.createDataFrame([(a == b, a == c, large[0] == large[1])], "same_order boolean, same_values boolean, same_large boolean")
 
 
 @query(
@@ -508,3 +512,6 @@ def rank_appearance(spark, sf_dir):
     return g.select("label", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("rank"))  # one row a label
 
 
+
+
+from . import roundtrips  # noqa: E402, F401

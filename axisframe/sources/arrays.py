@@ -48,6 +48,7 @@ def read_npy(spark: SparkSession, path: str) -> Matrix:
         raise ValueError(f"{path}: no matrix can hold {kind}")
     width = math.prod(shape[1:])
     rows = shape[0] if shape else 1
+    files.ship(spark)
     spark.dataSource.register(NpySource)
     data = spark.read.format("npy_rows").options(path=path.removeprefix("file://"), dtype=dtype.str, width=width, rows=rows, offset=offset, kind=SPARK_TYPES[kind]).load()
     return Matrix(data, (rows, *shape[1:]), kind, "dense")
@@ -209,26 +210,25 @@ def rectangular(value: list) -> bool:
     return shape_of(value) is not None and len(set(leaves(value))) <= 1 and "dict" not in set(leaves(value))
 
 
-def pixels(x: np.ndarray, scale: bool = False) -> np.ndarray:
-    """An array as 8- or 16-bit pixels: booleans as black and white, floats in 0..1 times 255, whole numbers as they are if they
-    fit; ``scale`` stretches any range to 0..255."""
-    if x.ndim not in (2, 3) or x.ndim == 3 and x.shape[2] not in (1, 2, 3, 4) or not x.size:
-        raise ValueError(f"an array of shape {x.shape} is no image")
-    if scale:
-        y = x.astype(np.float64)
-        if not np.isfinite(y).all():
-            raise ValueError("what is not finite cannot be scaled")
-        low, high = y.min(), y.max()
-        return np.rint((y - low) / (high - low) * 255 if high > low else np.zeros_like(y)).astype(np.uint8)
+def pixels(x: np.ndarray, scale: bool = False, deep: bool = True) -> np.ndarray:
+    """An array as pixels, its values unchanged: booleans as 0 and 255, floats up to 1 times 255 and those up to 255 cut to
+    whole numbers, whole numbers as 8 bits, or as 16 in one channel where the format keeps them (``deep``). ``scale``
+    stretches any finite range to 0..255, what is not finite becoming 0."""
+    if x.ndim not in (2, 3) or x.ndim == 3 and x.shape[2] not in (1, 2, 3, 4) or not x.size or x.dtype.kind not in "biuf":
+        raise ValueError(f"an array of shape {x.shape} and type {x.dtype} is no image")
     if x.dtype == bool:
         return x.astype(np.uint8) * 255
+    good = np.isfinite(x) if x.dtype.kind == "f" else np.ones(x.shape, bool)
+    low, high = (x[good].min(), x[good].max()) if good.any() else (0, 0)
+    if scale:
+        span = float(high) - float(low)
+        return np.rint(np.where(good, (np.where(good, x, 0).astype(np.float64) - float(low)) / span * 255, 0) if span > 0 else np.zeros(x.shape)).astype(np.uint8)
+    top = 65_535 if deep and x.ndim == 2 and x.dtype.kind != "f" else 255
+    if not good.all() or low < 0 or high > top:
+        raise ValueError(f"an image of this form holds whole numbers from 0 to {top} or floats from 0 to 1; scale others")
     if x.dtype.kind == "f":
-        if not (np.isfinite(x).all() and x.min() >= 0 and x.max() <= 1):
-            raise ValueError("floats of an image lie in 0..1; scale others")
-        return np.rint(x * 255).astype(np.uint8)
-    if x.min() < 0 or x.max() > 65_535:
-        raise ValueError("whole numbers of an image lie in 0..65535; scale others")
-    return x.astype(np.uint8 if x.max() <= 255 and x.dtype.itemsize == 1 or x.max() <= 255 else np.uint16)
+        return (x * 255.0 if high <= 1 else x).astype(np.uint8)
+    return x.astype(np.uint16 if high > 255 or x.dtype == np.uint16 and top > 255 else np.uint8)
 
 
 def png(x: np.ndarray) -> bytes:
@@ -245,6 +245,67 @@ def png(x: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", y.shape[1], y.shape[0], depth, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
+def tiff(x: np.ndarray) -> bytes:
+    """Pixels as a TIFF file of one uncompressed strip."""
+    y = x if x.ndim == 3 else x[:, :, None]
+    raw, bits, n = y.astype(y.dtype.newbyteorder("<")).tobytes(), y.dtype.itemsize * 8, y.shape[2]
+    where = 8 + len(raw) + len(raw) % 2
+    # Tags of a baseline file.
+    tags = [(256, 4, 1, y.shape[1]), (257, 4, 1, y.shape[0]), (258, 3, n, bits), (259, 3, 1, 1), (262, 3, 1, 2 if n >= 3 else 1), (273, 4, 1, 8), (277, 3, 1, n), (278, 4, 1, y.shape[0]), (279, 4, 1, len(raw)), (284, 3, 1, 1)]
+    if n in (2, 4):
+        tags.append((338, 3, 1, 2))
+    end = where + 2 + 12 * len(tags) + 4
+    body, more = struct.pack("<H", len(tags)), b""
+    for tag, kind, count, value in tags:
+        if tag == 258 and n > 2:
+            body += struct.pack("<HHII", tag, kind, count, end + len(more))
+            more += struct.pack(f"<{n}H", *[bits] * n)
+        elif kind == 3:
+            body += struct.pack("<HHIHH", tag, kind, count, value, value if count == 2 else 0)
+        else:
+            body += struct.pack("<HHII", tag, kind, count, value)
+    return b"II*\0" + struct.pack("<I", where) + raw + b"\0" * (len(raw) % 2) + body + bytes(4) + more
+
+
+def read_tiff(data: bytes) -> np.ndarray:
+    """A TIFF file of strips that are not packed, or packed by deflate, 8 or 16 bits, as (height, width[, channels])."""
+    order = {b"II": "<", b"MM": ">"}.get(data[:2])
+    if order is None or data[2:4] not in (b"*\0", b"\0*"):
+        raise ValueError("this is no TIFF file")
+    (at,) = struct.unpack_from(order + "I", data, 4)
+    (count,) = struct.unpack_from(order + "H", data, at)
+    tags = {}
+    for k in range(count):
+        tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+        size = {3: 2, 4: 4}.get(kind)
+        if size is None:
+            continue
+        where = at + 10 + 12 * k if n * size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
+        tags[tag] = struct.unpack_from(f"{order}{n}{'H' if kind == 3 else 'I'}", data, where)
+    packed = tags.get(259, (1,))[0]
+    if packed not in (1, 8, 32946) or set(tags.get(258, (8,))) - {8, 16} or tags.get(284, (1,))[0] != 1 or 273 not in tags:
+        raise ValueError("TIFF files with tiles, planes or other codecs are not read")
+    strips = [data[a : a + n] for a, n in zip(tags[273], tags[279], strict=True)]
+    raw = b"".join(zlib.decompress(x) if packed != 1 else x for x in strips)
+    n, bits = tags.get(277, (1,))[0], tags.get(258, (8,))[0]
+    x = np.frombuffer(raw, f"{order}u{bits // 8}").astype(f"u{bits // 8}").reshape(tags[257][0], tags[256][0], n)
+    return x[:, :, 0] if n == 1 else x
+
+
+def image_bytes(x: np.ndarray, path: str, scale: bool = False) -> bytes:
+    """An array as the image file that a path's ending asks for."""
+    ending = path.lower().rpartition(".")[2]
+    if ending == "png":
+        return png(pixels(x, scale))
+    if ending in ("tif", "tiff"):
+        return tiff(pixels(x, scale))
+    raise ValueError(f"images are written as png or tiff, not {ending}")
+
+
+def read_image(data: bytes) -> np.ndarray:
+    return read_png(data) if data[:4] == b"\x89PNG" else read_tiff(data)
+
+
 def read_png(data: bytes) -> np.ndarray:
     """A PNG file that is not interlaced, 8 or 16 bits, as (height, width[, channels])."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":

@@ -122,6 +122,13 @@ def rename(spark: SparkSession, path: str, to: str) -> None:
         raise OSError(f"{path} cannot be renamed to {to}")
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """``rename`` that makes the folders above the new place."""
+    fs, where = _at(spark, to)
+    fs.mkdirs(where.getParent())
+    rename(spark, path, to)
+
+
 def same(spark: SparkSession, a: str, b: str) -> bool:
     """Whether two paths name one place, once made absolute."""
     (fs, x), (other, y) = _at(spark, a), _at(spark, b)

@@ -234,7 +234,9 @@ def load(spark: SparkSession, path: str) -> Store:
     for name in (*manifest["frames"], *manifest["matrices"]):
         if name.startswith("/") or ".." in name.split("/") or ":" in name:
             raise ValueError(f"{path}: the element {name!r} lies outside the store")
-    frames = {n: Frame(spark.read.parquet(f"{path}/{n}"), {c: Categories(tuple(k["labels"]), k["ordered"]) for c, k in cats.items()}) for n, cats in manifest["frames"].items()}
+    if "obs" not in manifest["frames"]:
+        manifest["frames"]["obs"] = None
+    frames = {n: Frame(spark.read.parquet(f"{path}/{n}") if cats is not None else spark.read.parquet(f"{path.removesuffix('/raw')}/obs"), {c: Categories(tuple(k["labels"]), k["ordered"]) for c, k in (cats or {}).items()}) for n, cats in manifest["frames"].items()}
     found = {n: Matrix(spark.read.parquet(f"{path}/{n}"), tuple(m["shape"]), m["dtype"], m["layout"]) for n, m in manifest["matrices"].items()}
     raw = load(spark, f"{path}/raw") if manifest.get("raw") else None
     return Store(frames.pop("obs"), frames.pop("var"), found, frames, manifest["uns"], raw)

@@ -266,9 +266,15 @@ def test_json_and_images():
     assert arrays.import_json('{"a": [[1, 2], [3]], "b": [1, 2.5], "c": null, "d/e": true}') == {"a": "[[1, 2], [3]]", "b": [1, 2.5], "d_e": True}
     for x in (np.arange(12, dtype=np.uint8).reshape(3, 4), np.arange(24, dtype=np.uint16).reshape(2, 4, 3) * 2000):
         assert np.array_equal(arrays.read_png(arrays.png(x)), x)
-    assert arrays.pixels(np.array([[True, False]])).tolist() == [[255, 0]] and arrays.pixels(np.array([[0.5, 1.0]])).tolist() == [[128, 255]]
-    with pytest.raises(ValueError):
-        arrays.pixels(np.array([[1.5]]))
+    assert arrays.pixels(np.array([[True, False]])).tolist() == [[255, 0]] and arrays.pixels(np.array([[0.5, 1.0]])).tolist() == [[127, 255]]
+    assert arrays.pixels(np.array([[1.5, 254.9]])).tolist() == [[1, 254]] and arrays.pixels(np.array([[1, np.nan], [3, 2]]), scale=True).tolist() == [[0, 0], [255, 128]]
+    for bad in (np.array([[300.0]]), np.array([[-1]]), np.full((2, 2, 3), 300), np.array([[np.nan]])):
+        with pytest.raises(ValueError):
+            arrays.pixels(bad)
+    for x in (np.arange(12, dtype=np.uint8).reshape(3, 4), np.arange(6, dtype=np.uint16).reshape(2, 3) * 9000, np.arange(24, dtype=np.uint8).reshape(2, 4, 3)):
+        assert np.array_equal(arrays.read_image(arrays.image_bytes(x, "a.tif")), x) and np.array_equal(arrays.read_image(arrays.image_bytes(x, "a.png")), x)
+    with pytest.raises(ValueError, match="jpg"):
+        arrays.image_bytes(x, "a.jpg")
 
 
 def test_polygons(spark, tmp_path):
