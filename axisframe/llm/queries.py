@@ -84,7 +84,23 @@ def op6_sentencepiece(spark, sf_dir):
     return pieces.token_digests(table(spark, sf_dir, "documents", "doc_id", "text"), pieces.default_model(spark))
 
 
-@_query("op10_minhash")
+@_query(
+    "op10_minhash",
+    r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda k: array_to_string(ws[k:k + 3], ' ')) END) AS set FROM w),
+k AS (SELECT set, min(doc_id) AS id, len(set)::BIGINT AS n FROM (SELECT doc_id, list_sort(set) AS set FROM s) WHERE len(set) > 0 GROUP BY set),
+e AS (SELECT id, n, unnest(set) AS x FROM k),
+p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.x = b.x AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT id AS a, id AS b FROM k UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a AS id, min(b) AS root FROM r GROUP BY a),
+c AS (SELECT s.doc_id, len(s.set)::BIGINT AS n, m.root FROM s LEFT JOIN k ON list_sort(s.set) = k.set LEFT JOIN m ON k.id = m.id)
+SELECT doc_id, n AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept FROM c""",
+)
 def op10_minhash(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=4, percent=80)
 
@@ -130,6 +146,18 @@ def op9_page_text(spark, sf_dir):
     return pagetext.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
-@_query("op7_embedding_dedup")
+@_query(
+    "op7_embedding_dedup",
+    """
+WITH RECURSIVE g AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM g UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+m AS (SELECT a AS id, min(b) AS root FROM r GROUP BY a),
+n AS (SELECT a AS id, count(*)::BIGINT AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN m ON vec_id = m.id LEFT JOIN n ON vec_id = n.id""",
+)
 def op7_embedding_dedup(spark, sf_dir):
     return vectors.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), threshold=0.9)
