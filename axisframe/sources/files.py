@@ -5,7 +5,10 @@ from __future__ import annotations
 import hashlib
 import io
 import os
+import signal
+import socket
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -135,37 +138,164 @@ def same(spark: SparkSession, a: str, b: str) -> bool:
     return str(fs.makeQualified(x)) == str(other.makeQualified(y))
 
 
+def _holder(spark: SparkSession, lock: str) -> tuple[str, int] | None:
+    """The machine and process that a lock names."""
+    try:
+        host, _, pid = read_bytes(spark, lock).decode().partition(" ")
+        return host, int(pid)
+    except Exception:  # noqa: BLE001 - a lock that cannot be read is one that is held
+        return None
+
+
+def _dead(holder: tuple[str, int] | None) -> bool:
+    """Whether a lock's process ran on this machine and is gone."""
+    if holder is None or holder[0] != socket.gethostname():
+        return False
+    try:
+        os.kill(holder[1], 0)
+    except ProcessLookupError:
+        return True
+    except PermissionError:
+        pass
+    return False
+
+
+def claim(spark: SparkSession, lock: str) -> None:
+    """Take a lock that nobody holds, or whose holder is gone; a lock from another machine may still be held."""
+    fs, where = _at(spark, lock)
+    if not fs.createNewFile(where):
+        if not _dead(_holder(spark, lock)):
+            raise FileExistsError(f"another process is writing here ({lock})")
+        fs.delete(where, False)
+        if not fs.createNewFile(where):
+            raise FileExistsError(f"another process is writing here ({lock})")
+    write_bytes(spark, lock, f"{socket.gethostname()} {os.getpid()}".encode())
+
+
+class Ended(SystemExit):
+    """A scheduler or a closed terminal has asked the process to end; the code is the usual one for its signal."""
+
+
+@contextmanager
+def ending_signals() -> Iterator[None]:
+    """Within, SIGTERM and SIGHUP raise ``Ended`` (codes 143 and 129), so that what was begun is cleaned up."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+    before = {}
+
+    def end(number, _):
+        raise Ended(128 + number)
+
+    for s in (signal.SIGTERM, signal.SIGHUP):
+        before[s] = signal.signal(s, end)
+    try:
+        yield
+    finally:
+        for s, how in before.items():
+            signal.signal(s, how)
+
+
+def settle(path: str) -> None:
+    """Have what lies at a local path on the disk, not in its cache."""
+    local = _local(path)
+    if local is None or not os.path.exists(local):
+        return
+    for at in [local] if os.path.isfile(local) else [os.path.join(d, n) for d, _, ns in os.walk(local) for n in ns]:
+        with open(at, "rb") as f:
+            os.fsync(f.fileno())
+
+
+def inherit(path: str, from_path: str) -> None:
+    """Give a local path the mode and group of another."""
+    old, new = _local(from_path), _local(path)
+    if old and new and os.path.exists(old) and os.path.exists(new):
+        told = os.stat(old)
+        os.chmod(new, told.st_mode & 0o7777)
+        try:
+            os.chown(new, -1, told.st_gid)
+        except PermissionError:
+            pass
+
+
+def real(path: str) -> str:
+    """A local path with links followed, so that what a link points at is replaced and the link kept."""
+    local = _local(path)
+    if local is None or not os.path.islink(local):
+        return path
+    return ("file://" if path.startswith("file:") else "") + os.path.realpath(local)
+
+
+def alias(spark: SparkSession, a: str, b: str) -> bool:
+    """Whether two paths reach one place, by whatever name: links, hard links, another case, or one inside the other."""
+    x, y = _local(a), _local(b)
+    if x is not None and y is not None and os.path.exists(x) and os.path.exists(y):
+        if os.path.samefile(x, y):
+            return True
+        up, down = sorted((os.path.realpath(x), os.path.realpath(y)), key=len)
+        return os.path.isdir(up) and down.startswith(up.rstrip("/") + "/")
+    return same(spark, a, b)
+
+
+def human(n: int) -> str:
+    """A number of bytes for people."""
+    size, unit = float(n), "B"
+    for unit in ("B", "KB", "MB", "GB", "TB"):
+        if size < 1000 or unit == "TB":
+            break
+        size /= 1000
+    return f"{size:.0f} {unit}" if unit == "B" else f"{size:.1f} {unit}"
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    fs, where = _at(spark, path)
+    return int(fs.getContentSummary(where).getLength()) if fs.exists(where) else 0
+
+
+def check_space(spark: SparkSession, path: str, need: int) -> None:
+    """Refuse to write ``need`` bytes where the file system says that less is free."""
+    fs, where = _at(spark, path)
+    while where.getParent() is not None and not fs.exists(where):
+        where = where.getParent()
+    free = int(fs.getStatus(where).getRemaining())
+    if free < need:
+        raise OSError(f"{path} needs about {human(need)}, of which {human(free)} are free")
+
+
 @contextmanager
 def staged(spark: SparkSession, target: str, replace: bool = False, sources: tuple[str, ...] = ()) -> Iterator[str]:
     """A path beside ``target`` to write to; it takes the target's place at the end, or is deleted after an error.
 
     A target that exists is refused unless ``replace``, and one that is also an input always unless
-    ``replace``. A lock beside it keeps a second writer away.
+    ``replace``. A link's own target is replaced and the link kept; what replaces something is on the disk before, and has
+    its mode and group. A lock beside it keeps a second writer away; one whose process is gone is taken over.
     """
-    target = target.rstrip("/")
+    target = real(target.rstrip("/"))
     taken = exists(spark, target)
     if taken and not replace:
         raise FileExistsError(f"{target} exists")
-    if not replace and any(same(spark, target, s) for s in sources):
+    if not replace and any(alias(spark, target, s) for s in sources):
         raise FileExistsError(f"{target} is also an input")
     head, _, tail = target.rpartition("/")
     beside = f"{head}/.{tail}" if head else f".{tail}"
+    claim(spark, f"{beside}.lock")
     fs, lock = _at(spark, f"{beside}.lock")
-    if not fs.createNewFile(lock):
-        raise FileExistsError(f"{target} is being written by another process ({beside}.lock)")
     new, old = f"{beside}.new-{uuid.uuid4().hex}", f"{beside}.old-{uuid.uuid4().hex}"
     try:
-        yield new
-        if taken:
-            rename(spark, target, old)
-        try:
-            rename(spark, new, target)
-        except OSError:
+        with ending_signals():
+            yield new
+            if taken:
+                settle(new)
+                inherit(new, target)
+                rename(spark, target, old)
+            try:
+                rename(spark, new, target)
+            except OSError:
+                if taken:
+                    rename(spark, old, target)
+                raise
             if taken:
-                rename(spark, old, target)
-            raise
-        if taken:
-            delete(spark, old)
+                delete(spark, old)
     finally:
         if exists(spark, new):
             delete(spark, new)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
-from . import chunked, counts, files, hdf5, loom, mtx, mudata, store, tables
+from . import chunked, counts, files, hdf5, loom, mtx, mudata, pickles, spatial, store, tables
 
 
 @dataclass(frozen=True)
@@ -73,15 +73,18 @@ FORMATS = (
     Format("mudata", mudata.is_modalities, mudata.read, mudata.write, ("mod",), (".h5mu",), ("mod", "column")),
     Format("h5ad", _annotated_file, hdf5.read, hdf5.write, endings=(".h5ad",)),
     Format("hdf5", lambda spark, path: False, hdf5.read_dataset, options=("key", "transpose", "dense", "obs_names_key", "var_names_key", "make_unique"), endings=(".hdf5", ".he5")),
-    Format("run", _has("count_matrix.mtx", "all_genes.csv", "cell_metadata.csv"), mtx.read_run, options=("genome",)),
-    Format("mtx-folder", _has("matrix.mtx", "barcodes.tsv"), mtx.read_folder, mtx.write_folder, ("names", "feature_type", "genome")),
+    Format("visium", spatial.is_slide, spatial.read_slide, options=(*_COUNTS, "unfiltered", "bin_size", "cells", "library_id", "images")),
+    Format("xenium", spatial.is_bundle, spatial.read_bundle, options=_COUNTS),
+    Format("run", lambda spark, path: bool(files.names(spark, path)) and mtx.run_folder(spark, path) is not None, mtx.read_run, options=("genome", "sample", "unfiltered", "names", "make_unique")),
+    Format("mtx-folder", mtx.is_folder, mtx.read_folder, mtx.write_folder, _COUNTS),
+    Format("pickle", pickles.is_pickle, pickles.read, options=("dense",), endings=(".pkl", ".pickle")),
     Format("mtx", _starts(mtx.BANNER.encode()), _matrix_only, lambda s, p, replace=False: mtx.write(s.matrices["X"], p, replace=replace), endings=(".mtx", ".mtx.gz")),
     Format("text", _text, tables.read_dense, options=("transpose", "sep"), endings=(".csv", ".tsv", ".txt", ".csv.gz", ".tsv.gz", ".txt.gz")),
     Format("zarr", lambda spark, path: any(n in (".zgroup", "zarr.json") for n in files.names(spark, path)), chunked.read, chunked.write, endings=(".zarr",)),
     Format("store", _has(store.MANIFEST), store.load, lambda s, p, replace=False: store.save(s, p, replace), endings=(".store",)),
 )
 # Files that are named when they are refused, and how they begin.
-UNREADABLE = {"HDF5 without a layout that is known (name one, hdf5 with a key for one array)": (hdf5.MAGIC,), "pickle": (b"\x80\x04\x95", b"\x80\x05\x95")}
+UNREADABLE = {"HDF5 without a layout that is known (name one, hdf5 with a key for one array)": (hdf5.MAGIC,)}
 
 
 def detect(spark: SparkSession, path: str) -> Format:

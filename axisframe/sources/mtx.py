@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from dataclasses import replace as replaced
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import unique_rows
 from ..operators import matrix
 from . import files, tables
 from .store import Frame, Matrix, Store
@@ -106,24 +109,58 @@ def write(m: Matrix, path: str, head: int | None = None, packed: bool | None = N
         tables.one_file(rows.select((F.col("i") + 1).cast("string").alias("a"), (F.col("j") + 1).cast("string").alias("b"), v.alias("c")), new, top, " ", packed)
 
 
-def _member(spark: SparkSession, folder: str, *wanted: str) -> str | None:
-    """The member of a folder whose name ends so, with or without a prefix and gzip."""
+# The matrices of a folder of spliced and unspliced counts, the first of which becomes X too.
+LAYERS = ("spliced", "unspliced", "ambiguous")
+
+
+def _members(spark: SparkSession, folder: str, *wanted: str) -> list[str]:
+    """The members of a folder whose names end so, with or without a prefix and gzip."""
+    found = []
     for name in files.names(spark, folder):
         bare = name.removesuffix(".gz")
         if any(bare == w or bare.endswith(("_" + w, "-" + w, "." + w)) for w in wanted):
-            return f"{folder}/{name}"
-    return None
+            found.append(f"{folder}/{name}")
+    return found
+
+
+def _member(spark: SparkSession, folder: str, *wanted: str) -> str | None:
+    """The one member of a folder whose name ends so; several sets in one folder are told apart by the user."""
+    found = _members(spark, folder, *wanted)
+    if len(found) > 1:
+        raise ValueError(f"{folder} holds several: {', '.join(f.rpartition('/')[2] for f in found)}")
+    return found[0] if found else None
 
 
-def read_folder(spark: SparkSession, folder: str, names: str = "ids", feature_type: str | None = None, genome: str | None = None) -> Store:
+def _genomes(spark: SparkSession, folder: str) -> list[str]:
+    """Subfolders that are a genome's: those with a table of genes."""
+    return [n for n in files.names(spark, folder) if _members(spark, f"{folder}/{n}", "genes.tsv")]
+
+
+def is_folder(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder holds counts with their names, or a subfolder a genome that does."""
+    if not files.names(spark, folder):
+        return False
+    whole = bool(_members(spark, folder, "barcodes.tsv")) and bool(_members(spark, folder, "matrix.mtx", *(f"{x}.mtx" for x in LAYERS)))
+    return whole or bool(_genomes(spark, folder))
+
+
+def read_folder(spark: SparkSession, folder: str, names: str = "ids", feature_type: str | None = None, genome: str | None = None, make_unique: bool = False) -> Store:
     """A count folder: matrix.mtx (features x barcodes), barcodes.tsv and features.tsv or genes.tsv, any of them gzipped
-    or prefixed. ``names`` is ids or symbols; features can be narrowed to one type or genome."""
-    parts = {k: _member(spark, folder, *w) for k, w in {"matrix": ("matrix.mtx",), "barcodes": ("barcodes.tsv",), "features": ("features.tsv", "genes.tsv")}.items()}
+    or prefixed; or spliced, unspliced and ambiguous counts, which become layers; or a subfolder a genome.
+
+    ``names`` is ids or symbols; features can be narrowed to one type or genome.
+    """
+    folder = folder.rstrip("/")
+    if not _members(spark, folder, "barcodes.tsv") and (have := _genomes(spark, folder)):
+        if genome is None and len(have) > 1 or genome is not None and genome not in have:
+            raise ValueError(f"{folder} holds the genomes {', '.join(have)}")
+        folder, genome = f"{folder}/{genome or have[0]}", None
+    layers = {x: m for x in LAYERS if (m := _member(spark, folder, f"{x}.mtx"))}
+    parts = {k: _member(spark, folder, *w) for k, w in {"matrix": ("spliced.mtx",) if layers else ("matrix.mtx",), "barcodes": ("barcodes.tsv",), "features": ("features.tsv", "genes.tsv")}.items()}
     if gone := [k for k, v in parts.items() if v is None]:
         raise FileNotFoundError(f"{folder} has no {', '.join(gone)}")
     if names not in ("ids", "symbols"):
         raise ValueError("names are ids or symbols")
-    m = read(spark, parts["matrix"])
     one = lambda p: tables.lines(spark, p).withColumnRenamed("line", "pos").withColumn("f", F.split("value", "\t"))
     obs = one(parts["barcodes"]).select("pos", F.get("f", F.lit(0)).alias("name"))
     f = one(parts["features"])
@@ -131,15 +168,33 @@ def read_folder(spark: SparkSession, folder: str, names: str = "ids", feature_ty
     name, other = (ident, symbol) if names == "ids" else (symbol, ident)
     var = f.select("pos", name.alias("name"), other.alias("gene_symbols" if names == "ids" else "gene_ids"), F.get("f", F.lit(2)).alias("feature_types"), F.get("f", F.lit(3)).alias("genome"))
     sizes = obs.count(), var.count()
-    if (m.shape[1], m.shape[0]) != sizes:
-        raise ValueError(f"{folder}: {m.shape[0]} x {m.shape[1]} entries, but {sizes[1]} features and {sizes[0]} barcodes")
-    store = Store(Frame(obs), Frame(var), {"X": Matrix(m.data.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), sizes, m.dtype)})
-    if feature_type is not None or genome is not None:
-        from ..operators.reshape import subset
-
-        tests = [f'{c} == "{v}"' for c, v in (("feature_types", feature_type), ("genome", genome)) if v is not None]
-        store = subset(store, var_query=" and ".join(tests))
-    return store
+    found = {}
+    for path, at in {"X": parts["matrix"], **{f"layers/{x}": p for x, p in layers.items()}}.items():
+        m = read(spark, at)
+        if (m.shape[1], m.shape[0]) != sizes:
+            raise ValueError(f"{folder}: {m.shape[0]} x {m.shape[1]} entries, but {sizes[1]} features and {sizes[0]} barcodes")
+        found[path] = Matrix(m.data.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), sizes, m.dtype)
+    told = run_of(spark, parts["matrix"])
+    store = Store(Frame(obs), Frame(var), found, {}, {"cellranger": told} if told else {})
+    from ..operators import modalities
+
+    store = modalities.narrowed(store, feature_type, genome)
+    return replaced(store, var=Frame(unique_rows(store.var.data))) if make_unique else store
+
+
+def run_of(spark: SparkSession, path: str) -> dict:
+    """What a matrix file's comment says of the run that made it."""
+    for line in tables.head_lines(spark, path)[1:]:
+        if not line.startswith("%"):
+            break
+        text = line.lstrip("%").strip()
+        if text.startswith("metadata_json:"):
+            try:
+                value = json.loads(text.partition(":")[2])
+            except ValueError:
+                return {}
+            return value if isinstance(value, dict) else {}
+    return {}
 
 
 def write_folder(store: Store, folder: str, replace: bool = False, feature_type: str = "Gene Expression") -> None:
@@ -147,16 +202,17 @@ def write_folder(store: Store, folder: str, replace: bool = False, feature_type:
     spark = store.spark
     if "X" not in store.matrices:
         raise KeyError("there is no X")
-    bad = store.obs.data.select("name").union(store.var.data.select("name")).where(F.col("name").rlike("[\t\r\n]") | (F.coalesce("name", F.lit("")) == ""))
-    if not bad.isEmpty():
-        raise ValueError("a name is empty or holds a tab or line end")
+    broken = lambda c: F.col(c).rlike("[\t\r\n]") | (F.coalesce(c, F.lit("")) == "") | F.startswith(F.col(c), F.lit('"'))
+    if not store.var.data.where(broken("name")).isEmpty() or not store.obs.data.where(broken("name") | F.contains(F.col("name"), F.lit(","))).isEmpty():
+        raise ValueError("a name is empty, begins with a quote, or holds a tab, a line end or (in a barcode) a comma")
     columns = store.var.columns
     symbol = F.coalesce("gene_symbols", "name") if "gene_symbols" in columns else F.col("name")
     kind = F.coalesce("feature_types", F.lit(feature_type)) if "feature_types" in columns else F.lit(feature_type)
     with files.staged(spark, folder, replace) as new:
         tables.one_file(store.obs.data.orderBy("pos").select("name"), f"{new}/barcodes.tsv.gz", packed=True)
         tables.one_file(store.var.data.orderBy("pos").select("name", symbol.alias("symbol"), kind.alias("kind")), f"{new}/features.tsv.gz", sep="\t", packed=True)
-        write(store.matrices["X"], f"{new}/matrix.mtx.gz", transpose=True)
+        run = store.uns.get("cellranger")
+        write(store.matrices["X"], f"{new}/matrix.mtx.gz", transpose=True, comment=f"metadata_json: {json.dumps(run)}" if run else "")
 
 
 def feature_types(var: DataFrame) -> DataFrame:
@@ -164,28 +220,50 @@ def feature_types(var: DataFrame) -> DataFrame:
     return var.groupBy("feature_types").agg(F.count("*").alias("n"), F.min("pos").alias("_first")).orderBy("_first").drop("_first")
 
 
-def read_run(spark: SparkSession, folder: str, genome: str | None = None) -> Store:
-    """A combinatorial-barcoding run: count_matrix.mtx (cells x genes), all_genes.csv and cell_metadata.csv. A genome narrows
-    genes, and cells that are assigned to another species."""
-    m = read(spark, _need(spark, folder, "count_matrix.mtx", "DGE.mtx"))
-    genes = tables.read_csv(spark, _need(spark, folder, "all_genes.csv"), categorical=False)
-    cells = tables.read_csv(spark, _need(spark, folder, "cell_metadata.csv"), categorical=False)
+RUN_FILES = ("count_matrix.mtx", "all_genes.csv", "cell_metadata.csv")
+
+
+def run_folder(spark: SparkSession, path: str, sample: str | None = None, unfiltered: bool = False) -> str | None:
+    """The folder of counts that is meant: given itself, of a sample, or of a run (all samples unless one is named)."""
+    path = path.rstrip("/")
+    if all(_members(spark, path, n) for n in RUN_FILES):
+        return path
+    inner = "DGE_unfiltered" if unfiltered else "DGE_filtered"
+    for folder in (f"{path}/{inner}", f"{path}/{sample or 'all-sample'}/{inner}"):
+        if all(_members(spark, folder, n) for n in RUN_FILES):
+            return folder
+    return None
+
+
+def samples(spark: SparkSession, path: str, unfiltered: bool = False) -> list[str]:
+    """The samples of a run, without the folder that holds all of them."""
+    return [n for n in files.names(spark, path) if n != "all-sample" and run_folder(spark, f"{path.rstrip('/')}/{n}", unfiltered=unfiltered)]
+
+
+def read_run(spark: SparkSession, path: str, genome: str | None = None, sample: str | None = None, unfiltered: bool = False, names: str = "ids", make_unique: bool = False) -> Store:
+    """A combinatorial-barcoding run: count_matrix.mtx (cells x genes), all_genes.csv and cell_metadata.csv of all samples or
+    one. A genome narrows genes, and cells that are assigned to another species."""
+    if sample is not None and sample != "all-sample" and (have := samples(spark, path, unfiltered)) and sample not in have:
+        raise ValueError(f"no sample {sample!r}: {', '.join(have)}")
+    folder = run_folder(spark, path, sample, unfiltered)
+    if folder is None:
+        raise FileNotFoundError(f"{path} has no {RUN_FILES[0]}")
+    m = read(spark, _member(spark, folder, RUN_FILES[0]))
+    genes = tables.read_csv(spark, _member(spark, folder, RUN_FILES[1]), categorical=False)
+    cells = tables.read_csv(spark, _member(spark, folder, RUN_FILES[2]))
     sizes = cells.data.count(), genes.data.count()
     if m.shape != sizes:
         raise ValueError(f"{folder}: {m.shape[0]} x {m.shape[1]} entries, but {sizes[0]} cells and {sizes[1]} genes")
     store = Store(cells, genes, {"X": m})
+    if "gene_name" in genes.columns:
+        from ..operators import modalities
+
+        symbols = Frame(genes.data.withColumnRenamed("gene_name", "gene_symbols"), genes.categories)
+        store = Store(cells, symbols, {"X": m})
+        store = modalities.renamed_by(store, "gene_symbols", "gene_ids") if names == "symbols" else store
     if genome is not None:
         from ..operators.reshape import subset
 
         query = f'genome == "{genome}"'
         store = subset(store, var_query=query, obs_query=f'species == "{genome}"' if "species" in cells.columns else None)
-    return store
-
-
-def _need(spark: SparkSession, folder: str, *names: str) -> str:
-    found = _member(spark, folder, *names)
-    if found is None:
-        raise FileNotFoundError(f"{folder} has no {names[0]}")
-    return found
-
-
+    return replaced(store, var=Frame(unique_rows(store.var.data))) if make_unique else store

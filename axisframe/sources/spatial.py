@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+import io
 import json
+import re
+import tarfile
+import warnings
+from collections.abc import Callable
+from dataclasses import replace as changed
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import axis, joins
-from . import files, tables
+from . import arrays, counts, files, tables
 from .store import Frame, Matrix, Store
 
 # Columns of a position table, in the order of files without a header.
 POSITIONS = ("barcode", "in_tissue", "array_row", "array_col", "pxl_row_in_fullres", "pxl_col_in_fullres")
 # Columns of a cell table that stay counts and areas.
 CENTROIDS = ("x_centroid", "y_centroid")
+# Files of a slide's folder, of its segmented cells and of a bundle of cells, and the analyses beside them
+# (newer place first).
+POSITION_FILES = ("tissue_positions.csv", "tissue_positions_list.csv", "tissue_positions.parquet")
+MATRICES = {"spots": ("filtered_feature_bc_matrix", "raw_feature_bc_matrix"), "cells": ("filtered_feature_cell_matrix", "raw_feature_cell_matrix")}
+OUTLINES = {"cell": "cell_segmentations.geojson", "nucleus": "nucleus_segmentations.geojson"}
+CLUSTERS = ("analysis/clustering/gene_expression_graphclust/clusters.csv", "analysis/clustering/graphclust/clusters.csv")
+PROJECTIONS = {"X_umap": ("analysis/umap/gene_expression_2_components/projection.csv", "analysis/umap/2_components/projection.csv"), "X_pca": ("analysis/pca/gene_expression_10_components/projection.csv", "analysis/pca/10_components/projection.csv")}
+#: The side of the bins that are read unless another is asked for, in microns.
+BIN = 8
 
 
 def positions(spark: SparkSession, path: str) -> DataFrame:
@@ -124,3 +140,137 @@ def with_projection(store: Store, path: str, name: str) -> Store:
 def scale_factors(spark: SparkSession, path: str) -> dict:
     """The scale factors of a spatial bundle."""
     return json.loads(files.read_bytes(spark, path))
+
+
+def _there(spark: SparkSession, folder: str, names: tuple[str, ...]) -> str | None:
+    return next((f"{folder}/{n}" for n in names if files.exists(spark, f"{folder}/{n}")), None)
+
+
+def _counts_in(spark: SparkSession, folder: str, kind: str, unfiltered: bool) -> str | None:
+    """The count file of a folder, with or without a sample's name before it."""
+    wanted = f"{MATRICES[kind][int(unfiltered)]}.h5"
+    found = [n for n in files.names(spark, folder) if n == wanted or n.endswith(f"_{wanted}")]
+    if len(found) > 1:
+        raise ValueError(f"{folder} holds several count files: {', '.join(found)}")
+    return f"{folder}/{found[0]}" if found else None
+
+
+def _bins(spark: SparkSession, folder: str) -> dict[int, str]:
+    found = {}
+    for n in files.names(spark, f"{folder}/binned_outputs"):
+        m = re.fullmatch(r"square_0*([0-9]+)um", n)
+        if m:
+            found[int(m[1])] = f"{folder}/binned_outputs/{n}"
+    return found
+
+
+def _slide(spark: SparkSession, path: str) -> str | None:
+    """The folder of a slide at a path or in its ``outs``."""
+    for folder in (path.rstrip("/"), f"{path.rstrip('/')}/outs"):
+        if _bins(spark, folder) or files.exists(spark, f"{folder}/{OUTLINES['cell']}"):
+            return folder
+        if files.exists(spark, f"{folder}/spatial/scalefactors_json.json") and _there(spark, f"{folder}/spatial", POSITION_FILES):
+            return folder
+    return None
+
+
+def is_slide(spark: SparkSession, path: str) -> bool:
+    return bool(files.names(spark, path)) and _slide(spark, path) is not None
+
+
+def is_bundle(spark: SparkSession, path: str) -> bool:
+    have = files.names(spark, path)
+    return "experiment.xenium" in have and "cell_feature_matrix.h5" in have
+
+
+def _analysed(store: Store, folder: str) -> Store:
+    """The clusters, projections and components that lie beside a matrix; rows without one stay empty, with one warning."""
+    spark = store.spark
+    before = store
+    if path := _there(spark, folder, CLUSTERS):
+        store = with_clusters(store, path, "graphclust")
+    for name, places in PROJECTIONS.items():
+        if path := _there(spark, folder, places):
+            store = with_projection(store, path, name)
+    if store is not before and "graphclust" in store.obs.columns and (n := store.obs.data.where(F.col("graphclust").isNull()).count()):
+        warnings.warn(f"{n} rows are not analysed", stacklevel=2)
+    return store
+
+
+def _labelled(store: Store, folder: str, library: str | None, images: bool) -> Store:
+    """uns/spatial of a slide: images, scale factors and what made the matrix, under the library's name."""
+    spark, run = store.spark, dict(store.uns.get("cellranger", {}))
+    ids = run.get("library_ids")
+    ids = ids if isinstance(ids, list) else [ids] if ids else []
+    if library is None and len(ids) > 1:
+        raise ValueError(f"the matrix holds several libraries: {', '.join(map(str, ids))}")
+    about = {"scalefactors": scale_factors(spark, f"{folder}/spatial/scalefactors_json.json"), "metadata": {k: run.pop(k) for k in ("chemistry_description", "software_version") if k in run}, "images": {}}
+    for size in ("hires", "lowres") if images else ():
+        at = f"{folder}/spatial/tissue_{size}_image.png"
+        if files.exists(spark, at):
+            x = arrays.read_image(files.read_bytes(spark, at))
+            about["images"][size] = (x if x.dtype == np.uint8 else (x >> 8).astype(np.uint8)).tolist()
+    uns = {k: v for k, v in store.uns.items() if k != "cellranger"}
+    return changed(store, uns={**uns, **({"cellranger": run} if run else {}), "spatial": {library or str(ids[0] if ids else "library"): about}})
+
+
+def read_slide(spark: SparkSession, path: str, unfiltered: bool = False, bin_size: int | None = None, cells: bool = False, library_id: str | None = None, images: bool = True, names: str = "ids", feature_type: str | None = None, genome: str | None = None, make_unique: bool = False) -> Store:
+    """A slide's folder as a store: spots, bins of one size, or segmented cells, with their places, images and analyses."""
+    folder = _slide(spark, path)
+    if folder is None:
+        raise ValueError(f"{path} is no slide's folder")
+    sizes = _bins(spark, folder)
+    if cells and files.exists(spark, f"{folder}/segmented_outputs"):
+        folder = f"{folder}/segmented_outputs"
+    elif sizes:
+        if (bin_size or BIN) not in sizes:
+            raise ValueError(f"no bins of {bin_size or BIN} microns: {', '.join(map(str, sizes))}")
+        folder = sizes[bin_size or BIN]
+    elif bin_size is not None:
+        raise ValueError("spots have no bin size")
+    outlines = files.exists(spark, f"{folder}/{OUTLINES['cell']}")
+    if cells and not outlines:
+        raise ValueError(f"{folder} holds no segmented cells")
+    kind = "cells" if outlines else "spots"
+    matrix = _counts_in(spark, folder, kind, unfiltered)
+    if matrix is None:
+        raise FileNotFoundError(f"{folder} has no {MATRICES[kind][int(unfiltered)]}.h5")
+    store = counts.read(spark, matrix, names, feature_type, genome, make_unique)
+    if outlines:
+        size = scale_factors(spark, f"{folder}/spatial/scalefactors_json.json").get("microns_per_pixel")
+        store = with_polygons(store, polygons(spark, f"{folder}/{OUTLINES['cell']}"), "cell", size)
+        if files.exists(spark, f"{folder}/{OUTLINES['nucleus']}"):
+            place = store.matrices["obsm/spatial"]
+            store = with_polygons(store, polygons(spark, f"{folder}/{OUTLINES['nucleus']}"), "nucleus", size, allow_missing=True).with_matrix("obsm/spatial", place)
+    else:
+        store = with_positions(store, positions(spark, _there(spark, f"{folder}/spatial", POSITION_FILES)))
+    return _analysed(_labelled(store, folder, library_id, images), folder)
+
+
+def read_bundle(spark: SparkSession, path: str, names: str = "ids", feature_type: str | None = None, genome: str | None = None, make_unique: bool = False) -> Store:
+    """A bundle of cells: counts, the table of cells, analyses (also packed ones)."""
+    path = path.rstrip("/")
+    table = f"{path}/cells.csv.gz"
+    if not files.exists(spark, table):
+        raise FileNotFoundError(f"{path} has no cells.csv.gz")
+    store = counts.read(spark, f"{path}/cell_feature_matrix.h5", names, feature_type, genome, make_unique)
+    cells = tables.read_csv(spark, table, "cell_id")
+    have = store.obs.data.select("name")
+    if extra := cells.data.join(have, "name", "left_anti").count():
+        warnings.warn(f"{extra} cells of the table are not in the matrix", stacklevel=2)
+        cells = Frame(cells.data.join(have, "name", "left_semi"), cells.categories)
+    store = with_cells(store, cells)
+    folder = path
+    if not files.exists(spark, f"{path}/analysis") and files.exists(spark, f"{path}/analysis.tar.gz"):
+        folder = files.scratch(spark, "analysis")
+        wanted = {*CLUSTERS, *(p for places in PROJECTIONS.values() for p in places)}
+        with files.open_input(f"{path}/analysis.tar.gz") as f, tarfile.open(fileobj=io.BufferedReader(f) if not hasattr(f, "peek") else f, mode="r:gz") as packed:
+            for member in packed:
+                # By name and content alone: nothing is unpacked where the archive says.
+                name = member.name.removeprefix("./")
+                if member.isfile() and name in wanted:
+                    files.write_bytes(spark, f"{folder}/{name}", packed.extractfile(member).read())
+    return _analysed(store, folder)
+
+
+Reader = Callable[..., Store]
