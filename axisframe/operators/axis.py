@@ -44,6 +44,12 @@ def absent(frame: Frame, wanted: DataFrame) -> DataFrame:
     return wanted.select("name").distinct().join(frame.data.select("name"), "name", "left_anti")
 
 
+def names_at(frame: Frame, positions: DataFrame | None = None) -> DataFrame:
+    """(pos, name) of an axis, at given positions (pos) if any are."""
+    rows = frame.data.select("pos", "name")
+    return rows if positions is None else rows.join(positions.select("pos").distinct(), "pos", "left_semi")
+
+
 def row_map(keep: DataFrame) -> DataFrame:
     """(pos, new_pos) of kept positions in source order."""
     return renumbered(keep.select("pos").distinct())

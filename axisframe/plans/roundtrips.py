@@ -829,3 +829,28 @@ def categories_of_inputs(spark, sf_dir):
     labels = f.categories["segment"].labels
     merged = concat.merged_categories([Categories(labels[::-1][:2]), Categories(labels)])
     return spark.createDataFrame([(x, k) for k, x in enumerate(merged.labels)], "label string, code long")
+
+
+@query("names_at_places", "SELECT c_custkey AS pos, c_name AS name FROM customer WHERE c_custkey % 3 = 1")
+def names_at_places(spark, sf_dir):
+    """Names of an axis at given positions."""
+    f = customers(spark, sf_dir)
+    return axis.names_at(f, f.data.where("pos % 3 = 1"))
+
+
+@query("csv_rows_of_a_value", "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, c_name AS name, c_acctbal AS balance FROM customer WHERE c_mktsegment = 'BUILDING'")
+def csv_rows_of_a_value(spark, sf_dir):
+    """Rows of a CSV file that have a value in a column."""
+    path = files.scratch(spark, "csv") + ".csv"
+    tables.write_csv(customers(spark, sf_dir), path)
+    return tables.read_csv(spark, path, only=("segment", "BUILDING")).data.select("pos", "name", "balance")
+
+
+@query("commands", _NAMED + " WHERE c_nationkey < 5")
+def commands(spark, sf_dir):
+    """A store converted, selected and converted again by commands."""
+    source = _through(spark, sf_dir, ".h5ad", hdf5.write)
+    middle, target = files.scratch(spark, "selected") + ".zarr", files.scratch(spark, "back") + ".h5ad"
+    cli.run(spark, ["subset", source, "-o", middle, "--obs-query", "nation < 5"])
+    cli.run(spark, ["convert", middle, "-o", target])
+    return _entries(formats.read(spark, target))

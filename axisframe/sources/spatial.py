@@ -116,21 +116,37 @@ def with_polygons(store: Store, shapes: DataFrame, prefix: str = "cell", microns
     return Store(Frame(obs, store.obs.categories), store.var, {**store.matrices, "obsm/spatial": Matrix(xy, (store.obs.data.count(), 2), "float64", "dense")}, store.frames, store.uns, store.raw)
 
 
+def _joined(store: Store, raw: DataFrame, what: str, *columns) -> DataFrame:
+    """obs with columns of an analysis table by its first column; a key that is no row's, or comes twice, is refused."""
+    rows, found = joins.checked_left(store.obs.data, raw.select(F.col(f"`{raw.columns[0]}`").alias("_barcode"), *columns), "_barcode", what=what)
+    if found.extra:
+        raise ValueError(f"{what}: {found.extra} rows are of no observation")
+    return rows
+
+
+def require_numbers(raw: DataFrame, columns: list[str], what: str) -> None:
+    """Refuse columns of text that hold something other than numbers."""
+    bad = raw.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull()).alias(str(k)) for k, c in enumerate(columns)]).first()
+    if odd := [c for c, n in zip(columns, bad, strict=True) if n]:
+        raise ValueError(f"{what}: {odd[0]!r} holds something other than numbers")
+
+
 def with_clusters(store: Store, path: str, name: str) -> Store:
     """obs with a categorical column from a Barcode,Cluster table, labels in natural order, rows without one missing."""
     raw = store.spark.read.option("header", True).csv(path)
-    key, value = raw.columns[:2]
-    rows, _ = joins.checked_left(store.obs.data, raw.select(F.col(key).alias("_barcode"), F.col(value).alias(name)), "_barcode", what=name)
+    if "Cluster" not in raw.columns:
+        raise ValueError(f"{path} has no column Cluster")
+    rows = _joined(store, raw, name, F.col("Cluster").alias(name))
     obs = axis.categorised(Frame(rows, store.obs.categories), name)
     return Store(obs, store.var, store.matrices, store.frames, store.uns, store.raw)
 
 
 def with_projection(store: Store, path: str, name: str) -> Store:
-    """obsm/<name> from a Barcode,a-1,a-2,... table; rows without one are NaN."""
+    """obsm/<name> from a Barcode,a-1,a-2,... table of numbers; rows without one are NaN."""
     raw = store.spark.read.option("header", True).csv(path)
-    key, *columns = raw.columns
-    values = F.array(*[F.col(f"`{c}`").try_cast("double") for c in columns])
-    rows, _ = joins.checked_left(store.obs.data, raw.select(F.col(key).alias("_barcode"), values.alias("_v")), "_barcode", what=name)
+    columns = raw.columns[1:]
+    require_numbers(raw, columns, name)
+    rows = _joined(store, raw, name, F.array(*[F.col(f"`{c}`").try_cast("double") for c in columns]).alias("_v"))
     nan = F.lit(float("nan"))
     v = F.coalesce(F.transform("_v", lambda x: F.coalesce(x, nan)), F.array_repeat(nan, len(columns)))
     m = Matrix(rows.select(F.col("pos").alias("i"), v.alias("values")), (store.obs.data.count(), len(columns)), "float64", "dense")

@@ -50,9 +50,10 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered(rows).withColumnRenamed("pos", "line")
 
 
-def read_csv(spark: SparkSession, path: str, index: str | None = None, sep: str = ",", categorical: bool | None = None, most_labels: int = 65_536) -> Frame:
+def read_csv(spark: SparkSession, path: str, index: str | None = None, sep: str = ",", categorical: bool | None = None, most_labels: int = 65_536, only: tuple[str, str] | None = None) -> Frame:
     """A CSV file as an axis frame: the index column (the first by default) gives the names, others get the types that
-    their entries have. Text becomes categorical if asked for, or if it repeats enough."""
+    their entries have. Text becomes categorical if asked for, or if it repeats enough. ``only`` keeps the rows that have a
+    value in a column."""
     raw = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "").csv(path)
     if len(set(raw.columns)) < len(raw.columns):
         raise ValueError(f"{path}: a column name repeats")
@@ -60,7 +61,9 @@ def read_csv(spark: SparkSession, path: str, index: str | None = None, sep: str
     if index not in raw.columns:
         raise KeyError(f"{path} has no column {index!r}: {', '.join(raw.columns)}")
     others = [c for c in raw.columns if c != index]
-    rows = numbered(raw)
+    if only is not None and only[0] not in raw.columns:
+        raise KeyError(f"{path} has no column {only[0]!r}: {', '.join(raw.columns)}")
+    rows = numbered(raw if only is None else raw.where(F.col(f"`{only[0]}`") == only[1]))
     found = typing.infer(rows, others)
     typed = [typing.typed(F.col(f"`{c}`"), found[c]).alias(c, metadata={"nullable": True} if found[c].missing and found[c].kind != "float" else {}) for c in others]
     frame = Frame(rows.select("pos", F.coalesce(F.col(f"`{index}`"), F.lit("")).alias("name"), *typed))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import warnings
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -371,6 +372,8 @@ def metadata(tree: Tree, path: str) -> Any:
 def read_store(tree: Tree, top: str = "") -> Store:
     """The annotated matrix under a group; only metadata are read until the store is used."""
     at = f"{top}/" if top else ""
+    if "encoding-type" not in tree.attributes(top):
+        warnings.warn("the file does not say that it is an annotated matrix; it is read as one", stacklevel=3)
     for need in ("obs", "var"):
         if not tree.exists(f"{at}{need}"):
             raise ValueError(f"there is no {need}")

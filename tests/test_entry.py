@@ -1,3 +1,4 @@
+import os
 import shutil
 import subprocess
 import sys
@@ -39,8 +40,17 @@ def plain(rows):
     return sorted(repr([None if v != v else float(v) if isinstance(v, int | float) and not isinstance(v, bool) else v for v in r]) for r in rows)
 
 
+#: Queries that write whole files in one format or other, which the tests of the formats hold already. The names of all
+#: registered queries are held against their SQL if AXISFRAME_ALL is set.
+OF_FORMATS = frozenset(
+    "ambient_of_features cleaned_cells cleaned_counts commands convert_h5ad_to_folder count_file_round_trip count_file_symbols dataset_of_a_file dense_array_round_trip folder_v2_round_trip folder_v3_obs formats_told h5ad_obs "
+    "h5ad_round_trip import_frame import_matrix loom_attributes loom_round_trip modalities_round_trip modality_global_columns mtx_folder_round_trip pairwise_round_trip raw_counts_of_cleaned split_stores store_round_trip "
+    "viewer_clusterings concat_graph merge_unique merge_first head_entries csv_rows_of_a_value".split()
+)
+
+
 @pytest.mark.skipif(not Path(TABLES).exists(), reason="no tables")
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(n for n in catalog.ORACLES if "AXISFRAME_ALL" in os.environ or n not in OF_FORMATS))
 def test_query_agrees_with_its_sql(spark, db, name):
     df = catalog.QUERIES[name](spark, TABLES)
     rel = db.execute(catalog.ORACLES[name])
