@@ -11,10 +11,9 @@ from .common import cut, discard, spread_join
 #: Lines with fewer words are never taken for repeats.
 MIN_WORDS = 5
 SPACES = r"[\x20\x09-\x0D]+"
-#: Bits of the map that spares lines without a near neighbour the shuffle of their words: so many a line that has one, and
-#: most in all; a table with more such lines does without the map.
-MAP_BITS_EACH = 16
-MAP_BITS = 1 << 24
+#: Bits of the map that spares lines without a near neighbour the shuffle of their words. It is part of the plan, of which
+#: the driver keeps several texts, so it stays small; a table with more such lines than bits does without it.
+MAP_BITS = 1 << 19
 _LOW = (1 << 40) - 1
 
 
@@ -187,9 +186,8 @@ def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     found = near.count()
     own = near.select(F.col("place").alias("at"), "chances")
     texts = lines.withColumn("place", place)
-    bits = 1 << max(15, (MAP_BITS_EACH * found).bit_length())
-    if bits <= MAP_BITS:
-        texts = texts.where(_in_map(F.xxhash64("place"), _bit_map(near.select(F.xxhash64("place").alias("h")), "h", bits), bits))
+    if found <= MAP_BITS:
+        texts = texts.where(_in_map(F.xxhash64("place"), _bit_map(near.select(F.xxhash64("place").alias("h")), "h", MAP_BITS), MAP_BITS))
     texts = texts.join(own.hint("shuffle_hash"), F.col("place") == F.col("at"))
     texts = cut(texts.select("place", "h1", "h2", "n", "chances", F.split("line", " ").alias("words")).dropDuplicates(["place", "h1", "h2"]), "words")
     discard(near)
