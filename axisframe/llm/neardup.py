@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, marked
 from .components import components
 from .pairblocks import blocked, meetings, spanning
 from .textkernel import U, Words, mix, slices, tidy
@@ -179,20 +179,18 @@ def candidate_links(kinds: DataFrame, agree: int = AGREE, percent: int = THRESHO
     """Edges (a, b) of classes that hold together all pairs which share a table and agree in enough minhashes.
 
     A collision that no other class has cannot become part of a shared table key, so only shared ones
-    are combined into pairs. Table keys of very common passages are compared in blocks.
+    are combined into pairs. Every pair goes to its key in one shuffle; keys that stay alone there cost less than a
+    second shuffle would to find them first. Table keys of very common passages are compared in blocks.
     """
-    spread = lambda side: kinds.select("class", F.lit(side).alias("side"), F.explode(f"{side}s").alias("part"))
-    parts = spread("u").union(spread("v"))
+    parts = kinds.select("class", F.posexplode(F.concat("us", "vs")).alias("at", "part"))
     shared = parts.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
     parts = parts.join(shared, "part", "left_semi")
-    lists = parts.groupBy("class").agg(*[F.collect_list(F.when(F.col("side") == s, F.col("part"))).alias(f"{s}s") for s in "uv"])
+    lists = parts.groupBy("class").agg(*[F.collect_list(F.when(side, F.col("part"))).alias(name) for name, side in (("us", F.col("at") < PARTS), ("vs", F.col("at") >= PARTS))])
     lists = lists.where("size(us) > 0 AND size(vs) > 0")
     lists = cut(lists.join(kinds.select("class", "n_shingles", "signature"), "class"), "parts")
     rows = lists.select("class", "n_shingles", "signature", F.explode("us").alias("u"), "vs")
     rows = rows.select("class", "n_shingles", "signature", "u", F.explode("vs").alias("v"))
-    rows = rows.select("class", "n_shingles", "signature", F.xxhash64("u", "v").alias("key"))
-    common = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rows = blocked(rows.join(common, "key", "left_semi"), "key", "class")
+    rows = blocked(rows.select("class", "n_shingles", "signature", F.xxhash64("u", "v").alias("key")), "key", "class")
     rows = rows.repartition("key", "pair_a", "pair_b").sortWithinPartitions("key", "pair_a", "pair_b", "class")
     return rows.mapInArrow(lambda it: _candidates(it, agree, percent), _EDGE)
 
@@ -211,7 +209,9 @@ def confirm(docs: DataFrame, members: DataFrame, words: int, percent: int) -> Da
                 sets = [x.tobytes() for x in shingle_sets(batch.column(0), words)]
                 yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), _binary(sets), _binary([hashlib.blake2b(x, digest_size=16).digest() for x in sets])], names=["class", "root", "hashes", "found"])
 
-    texts = docs.select(F.col("row").alias("need"), "text").join(members, F.col("need") == F.col("row")).select("text", "class", "root")
+    # Only texts that may be needed are shuffled.
+    some = marked(docs.select(F.col("row").alias("need"), "text"), "need", members.select("row")).where("marked")
+    texts = some.join(members, F.col("need") == F.col("row")).select("text", "class", "root")
     sets = texts.mapInArrow(run, "class binary, root binary, hashes binary, found binary")
     sets = cut(sets.where("found = class").drop("found"), "sets")
     rows = blocked(sets.withColumn("root", F.xxhash64("root")), "root", "class")
@@ -232,7 +232,8 @@ def _linked(rows: DataFrame, words: int, percent: int) -> DataFrame:
     first = components(candidate_links(kinds, percent=percent))
     first = cut(first.withColumnRenamed("node", "class"), "candidates")
     who = sketch.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id.row").alias("row"))
-    links = components(confirm(rows.select("row", "doc.text"), first.join(who, "class"), words, percent))
+    members = cut(first.join(who, "class"), "members")
+    links = components(confirm(rows.select("row", "doc.text"), members, words, percent))
     slim = sketch.select("doc_id.row", "doc_id.doc_id", "n_shingles", "class").join(links.withColumnRenamed("node", "class"), "class", "left")
     return slim.select("row", "doc_id", "n_shingles", F.coalesce("root", "class").alias("root"))
 
@@ -262,5 +263,7 @@ def one_of_each(docs: DataFrame, words: int = SHINGLE, percent: int = THRESHOLD)
     rows = _numbered(docs)
     slim = cut(_linked(rows, words, percent).where("root IS NOT NULL"), "linked")
     stay = slim.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("stay"), F.count("*").alias("n"))
-    gone = slim.join(stay.where("n > 1"), "root").where("row <> stay").select(F.col("row").alias("gone"))
-    return rows.join(gone, F.col("row") == F.col("gone"), "left_anti").select("doc.*")
+    gone = cut(slim.join(stay.where("n > 1"), "root").where("row <> stay").select("row"), "gone")
+    # Only rows that may go are shuffled; all others are in no doubt.
+    rows = marked(rows, "row", gone)
+    return rows.where("NOT marked").union(rows.where("marked").join(gone, "row", "left_anti").select(*rows.columns)).select("doc.*")

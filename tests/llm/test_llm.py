@@ -149,6 +149,42 @@ def test_one_row_of_each_component_stays(spark, odd, none):
     assert neardup.one_of_each(none).count() == 0
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jvm = spark._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_near_duplicates_shuffle_only_texts_in_question(spark):
+    rng = random.Random(31)
+    texts = [" ".join(f"{rng.getrandbits(32):08x}" for _ in range(1500)) for _ in range(200)]
+    rows = [*enumerate(texts), (900, texts[3] + " more"), (901, texts[8])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).localCheckpoint()
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled(spark)
+        assert {r.doc_id for r in neardup.one_of_each(docs).select("doc_id").collect()} == set(range(200))
+        assert shuffled(spark) - before < sum(len(t) for t in texts) / 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_marked_misses_none(spark, monkeypatch):
+    """Every row in question is marked, whatever room the map has, and few others."""
+    from axisframe.llm import common
+
+    rows = spark.range(5000).withColumn("id", F.when(F.col("id") > 0, F.col("id")))
+    some = spark.range(1, 5000, 9)
+    own = {r.id for r in some.collect()}
+    for each, top in ((16, 800), (0, 800)):
+        monkeypatch.setattr(common, "VALUE_BITS", each)
+        got = common.marked(rows, "id", some).collect()
+        assert len(got) == 5000 and own <= {r.id for r in got if r.marked} and len(own) <= sum(r.marked for r in got) <= top
+
+
 def one_apart(a, b):
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
