@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, marked
-from .components import components
+from .components import ALONE, components
 from .pairblocks import blocked, meetings, spanning
 from .textkernel import U, Words, mix, slices, tidy
 
@@ -229,11 +229,11 @@ def _linked(rows: DataFrame, words: int, percent: int) -> DataFrame:
     texts = rows.select(F.struct("row", "doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
     sketch = cut(sketches(texts, words), "sketch")
     kinds = classes(sketch.drop("doc_id"))
-    first = components(candidate_links(kinds, percent=percent))
+    first = components(candidate_links(kinds, percent=percent), alone=ALONE)
     first = cut(first.withColumnRenamed("node", "class"), "candidates")
     who = sketch.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id.row").alias("row"))
     members = cut(first.join(who, "class"), "members")
-    links = components(confirm(rows.select("row", "doc.text"), members, words, percent))
+    links = components(confirm(rows.select("row", "doc.text"), members, words, percent), alone=ALONE)
     slim = sketch.select("doc_id.row", "doc_id.doc_id", "n_shingles", "class").join(links.withColumnRenamed("node", "class"), "class", "left")
     return slim.select("row", "doc_id", "n_shingles", F.coalesce("root", "class").alias("root"))
 

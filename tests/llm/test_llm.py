@@ -61,6 +61,18 @@ def test_components_match_union_find(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_end_in_one_task_as_in_rounds(spark):
+    rng = random.Random(41)
+    edges = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(300)] + [(900 + (k * 37) % 200, 900 + (k + 1) * 37 % 200) for k in range(199)] + [(5, 5), (1, None)]
+    longs = spark.createDataFrame(edges, "a long, b long")
+    names = longs.select(*[F.unhex(F.md5(F.col(c).cast("string"))).alias(c) for c in "ab"])
+    for df in (longs, names):
+        rounds = sorted(components.components(df).collect())
+        for alone in (150, components.ALONE):
+            assert sorted(components.components(df, alone=alone).collect()) == rounds
+    assert components.components(spark.createDataFrame([], "a long, b long"), alone=9).count() == 0
+
+
 def brute_near(rows, n, percent):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
@@ -172,6 +184,25 @@ def test_near_duplicates_shuffle_only_texts_in_question(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
 
 
+def test_near_duplicates_take_few_stages(spark):
+    """The driver keeps every stage and plan: a chain of copies, each near the next only, costs no round of joins a link."""
+    rng = random.Random(43)
+    chain = [words(rng, 100).split()]
+    for k in range(20):
+        chain.append([*chain[-1][: 5 * k], *(f"c{k}x{j}" for j in range(5)), *chain[-1][5 * k + 5 :]])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(chain)], "doc_id long, text string")
+    jvm = spark._jvm
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        every = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {every.apply(k).stageId() for k in range(every.size())}
+
+    before = stages()
+    assert {r.component_id for r in neardup.near_duplicates(docs, words=4).collect()} == {0}
+    assert len(stages() - before) < 120
+
+
 def test_marked_misses_none(spark, monkeypatch):
     """Every row in question is marked, whatever room the map has, and few others."""
     from axisframe.llm import common
