@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Most members of a group that one block holds; a block meets one other at a time.
 BLOCK = 2048
 #: Groups up to this size are compared all at once by shifting.
@@ -20,10 +22,12 @@ def blocked(rows: DataFrame, key: str, ident: str, block: int = BLOCK) -> DataFr
 
     A group of up to ``block`` rows is one block. A larger one is dealt by a hash of ``ident`` over
     n / block blocks, and each row goes to every meeting of its block, so that each pair of rows
-    meets and no task holds more than about two blocks of a group.
+    meets and no task holds more than about two blocks of a group. The few large keys are written down, so that
+    their true size is known and ``rows`` are not shuffled for them unless they are many.
     """
     large = rows.groupBy(key).count().where(F.col("count") > block)
     large = large.select(F.col(key).alias("pair_key"), F.ceil(F.col("count") / block).cast("int").alias("pair_n"))
+    large = cut(large, "large")
     out = rows.join(large, F.col(key) == F.col("pair_key"), "left").drop("pair_key")
     out = out.withColumn("pair_n", F.coalesce("pair_n", F.lit(1)))
     out = out.withColumn("pair_at", F.pmod(F.xxhash64(ident, F.lit(7)), F.col("pair_n")).cast("int"))
