@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from .textkernel import tidy
 
 SPACE = "▁"
-#: Segments whose encoding a worker remembers in each of two generations, and their longest length in characters.
+#: Segments whose encoding a task remembers in each of two generations, and their longest length in characters.
 REMEMBERED = 350_000
 REMEMBERED_LENGTH = 48
-#: The mark of a segment's first id in a worker's memory; ids are smaller.
+#: The mark of a segment's first id in a task's memory; ids are smaller.
 _FIRST = 1 << 30
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
@@ -291,21 +291,26 @@ def _utf8(raw: bytes) -> str:
     return "".join(out)
 
 
-_models: dict[bytes, tuple[Model, tuple[dict, dict]]] = {}
+_models: dict[bytes, Model] = {}
 
 
-def _model(data: bytes) -> tuple[Model, tuple[dict, dict]]:
+def _model(data: bytes) -> Model:
     key = hashlib.sha1(data).digest()
     if key not in _models:
-        _models[key] = Model(data), ({}, {})
+        _models[key] = Model(data)
     return _models[key]
 
 
 class _Coder:
-    """Encodes whole texts through a bounded memory of segments: what ``Model.covered`` gives, the first id marked."""
+    """Encodes whole texts through a bounded memory of segments: what ``Model.covered`` gives, the first id marked.
+
+    The memory goes with the coder: a worker lives on between tasks and then runs other operators beside others.
+    """
 
     def __init__(self, data: bytes):
-        self.model, (self.known, self.older) = _model(data)
+        self.model = _model(data)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _segment(self, s: str) -> bytes:
         rows = self.model.covered(s)
@@ -358,7 +363,7 @@ def token_digests(docs: DataFrame, model_path: str, ident: str = "doc_id") -> Da
     Every text is encoded with the span of each piece and its ids are decoded again. Null counts as empty, an empty
     text has no ids, an empty table gives no rows. The model (below a megabyte) travels with the task. Rows
     are coded one by one in the batches that Arrow hands over, with a memory of at most twice REMEMBERED segments a
-    worker; there is no shuffle. Repeated rows give repeated rows; other columns are not read.
+    task; there is no shuffle. Repeated rows give repeated rows; other columns are not read.
     """
     data = model_bytes(model_path)
     kind = docs.schema[ident].dataType.simpleString()
@@ -381,7 +386,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
     @F.pandas_udf("array<struct<id:int,begin:int,end:int>>")
     def spans(texts):
-        model, _ = _model(data)
+        model = _model(data)
         return texts.map(lambda t: [{"id": i, "begin": a, "end": b} for i, a, b in model.spans(t or "")])
 
     return docs.withColumn("pieces", spans("text"))
@@ -394,7 +399,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def texts(ids):
-        model, _ = _model(data)
+        model = _model(data)
         return ids.map(lambda x: None if x is None else model.decode(list(x)))
 
     return encoded.withColumn("decoded", texts(F.transform("pieces", lambda p: p["id"])))

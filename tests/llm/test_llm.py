@@ -549,6 +549,22 @@ def test_piece_spans_are_those_of_the_original(spark, library):
     assert [r.decoded for r in pieces.decode(df, path).orderBy("doc_id").collect()] == ["日x a", ""]
 
 
+def test_workers_forget_segments_after_a_task(spark, library):
+    docs = spark.createDataFrame([(k, f"remembered{k} segments") for k in range(64)], "doc_id long, text string").repartition(8)
+    pieces.token_digests(docs, library[1]).collect()
+
+    def held(batches):
+        for batch in batches:
+            todo, n = [pieces._models], 0
+            while todo:
+                x = todo.pop()
+                n += isinstance(x, str) and "remembered" in x
+                todo += [*x, *x.values()] if isinstance(x, dict) else x if isinstance(x, tuple) else ()
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    assert not sum(r[0] for r in spark.range(8).repartition(8).mapInArrow(held, "n long").collect())
+
+
 def test_character_map_takes_the_longest_prefix():
     """A map that turns ab into X and a into Y: the double array is laid out by hand."""
     units = [0] * 512
