@@ -199,21 +199,30 @@ def confirm(docs: DataFrame, members: DataFrame, words: int, percent: int) -> Da
     """Links between classes in the same candidate component whose whole sets are similar enough.
 
     ``docs`` has a row number and a text, ``members`` class, root and the number of one row that has the set. Sets are
-    computed again from those rows' texts.
+    computed again from those rows' texts. Rows may share a number: of their sets only those of ``members`` count, each
+    once a task.
     """
 
     @tidy
     def run(batches):
+        seen: set[bytes] = set()
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = [x.tobytes() for x in shingle_sets(batch.column(0), words)]
-                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), _binary(sets), _binary([hashlib.blake2b(x, digest_size=16).digest() for x in sets])], names=["class", "root", "hashes", "found"])
+                own = []
+                for k, (x, name) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)):
+                    if name not in seen and hashlib.blake2b(x, digest_size=16).digest() == name:
+                        seen.add(name)
+                        own.append(k)
+                at = pa.array(own, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), _binary([sets[k] for k in own])], names=["class", "root", "hashes"])
 
     # Only texts that may be needed are shuffled.
     some = marked(docs.select(F.col("row").alias("need"), "text"), "need", members.select("row")).where("marked")
     texts = some.join(members, F.col("need") == F.col("row")).select("text", "class", "root")
-    sets = texts.mapInArrow(run, "class binary, root binary, hashes binary, found binary")
-    sets = cut(sets.where("found = class").drop("found"), "sets")
+    sets = cut(texts.mapInArrow(run, "class binary, root binary, hashes binary"), "sets")
+    if sets.agg(F.countDistinct("class")).first()[0] < members.count():
+        raise RuntimeError("the documents were not the same when they were read again")
     rows = blocked(sets.withColumn("root", F.xxhash64("root")), "root", "class")
     rows = rows.repartition("root", "pair_a", "pair_b").sortWithinPartitions("root", "pair_a", "pair_b", "class")
     return rows.mapInArrow(lambda it: _confirmed(it, percent), _EDGE)
@@ -225,7 +234,9 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _linked(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """(row, doc_id, n_shingles, root) of rows from ``_numbered``; root is null for texts without words."""
+    """(row, doc_id, n_shingles, root) of rows (row, doc); root is null for texts without words.
+
+    Rows of one number are told apart by their sets, so that a hash of the row will do as its number."""
     texts = rows.select(F.struct("row", "doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
     sketch = cut(sketches(texts, words), "sketch")
     kinds = classes(sketch.drop("doc_id"))
@@ -245,9 +256,11 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = THRESH
     named by its smallest doc_id and keeps the row that has it. Texts without words and null texts have
     an empty set and stand alone. Rows with equal sets are one class and are never paired; a doc_id that
     comes back with other text is another member with the same id, a null doc_id never names a component
-    unless all its members are null. An empty table gives no rows; other columns are not read.
+    unless all its members are null. An empty table gives no rows; other columns are not read. ``docs`` is read
+    twice and not written down; if a text that is needed is not there again, it fails.
     """
-    slim = _linked(_numbered(docs.select("doc_id", "text")), words, percent)
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.struct("doc_id", "text").alias("doc"))
+    slim = _linked(rows, words, percent)
     named = slim.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     out = slim.join(named.where("n > 1").drop("n"), "root", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))

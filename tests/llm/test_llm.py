@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -184,6 +185,29 @@ def test_near_duplicates_shuffle_only_texts_in_question(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
 
 
+def test_near_duplicates_write_no_text_down(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(2000)) for _ in range(60)]
+    near = texts[0].replace(" ", " again ", 1)
+    # A row that comes back as it is is one member each time, and its set is compared once.
+    rows = [(k, t) for k, t in enumerate(texts)] + [(0, texts[0])] * 300 + [(99, near), (98, near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    size = lambda: sum(f.stat().st_size for f in shared.rglob("*.parquet"))
+    before = size()
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect())
+    assert size() - before < sum(map(len, texts)) / 4
+    assert got == {(0, 0, True): 301, (98, 0, False): 1, (99, 0, False): 1} | {(k, k, True): 1 for k in range(1, 60)}
+
+
+def test_near_duplicates_notice_other_texts(spark):
+    text = " ".join(map(str, range(300)))
+    docs = spark.createDataFrame([(k, text) for k in range(6)], "doc_id long, text string")
+    fresh = F.udf(lambda: f" {random.SystemRandom().getrandbits(64):x}").asNondeterministic()
+    with pytest.raises(RuntimeError, match="not the same"):
+        neardup.near_duplicates(docs.withColumn("text", F.concat("text", fresh()))).collect()
+
+
 def test_near_duplicates_take_few_stages(spark):
     """The driver keeps every stage and plan: a chain of copies, each near the next only, costs no round of joins a link."""
     rng = random.Random(43)
